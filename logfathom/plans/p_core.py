@@ -7,11 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import spelling
 from ..operators.sessions import merge_sessions
-from ..session import table
+from ..operators.timestamps import normalise_times
+from ..session import small, table
 
 SESSION_GAP_US = 1_800_000_000
 
 
+def host_of(relpath):
+    """The host directory of ``bundle-<id>/<host>/<file>`` in the spelling of the table of nodes."""
+    return F.substring_index(F.lower(F.get(F.split(relpath, "/"), 1)), ".", 1)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "nodes").select(F.substring_index(F.lower(F.trim("hostname")), ".", 1).alias("host"), "tz")
+    hosts = nodes.where("host is not null").groupBy("host").agg(F.min("tz").alias("tz"), F.max("tz").alias("other")).select("host", F.when(F.col("tz") == F.col("other"), F.col("tz")).alias("tz"))
+    bundles = table(spark, folder, "bundles").groupBy("bundle_id").agg(F.max("collected_at").alias("at"))
+    collected = bundles.select("bundle_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(at as timestamp_ntz))").alias("collected_us"))
+    path = F.col("source_relpath")
+    events = table(spark, folder, "event_candidates").select("event_id", "bundle_id", F.coalesce("ts_raw", "ts").alias("text"), host_of(path).alias("host"), F.concat_ws("/", host_of(path), F.regexp_replace(path, r"^[^/]*/[^/]*/", "")).alias("source"))
+    events = events.dropDuplicates(["event_id"]).join(small(hosts), "host", "left").join(small(collected), "bundle_id", "left")
+    return normalise_times(events, "text", "source", "tz", "collected_us").where("time_status = 'ok'").select("event_id", F.col("time_us").alias("us"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "timeline_events")
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
@@ -19,7 +36,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.withColumnRenamed("key", "peer")
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
 
 SQL = {
     "p4_found": r"""
