@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spelling
+from ..operators.loglines import log_entries
 from ..operators.sessions import merge_sessions
 from ..operators.timestamps import normalise_times
 from ..session import small, table
@@ -18,11 +19,15 @@ def host_of(relpath):
     return F.substring_index(F.lower(F.get(F.split(relpath, "/"), 1)), ".", 1)
 
 
+def collection_times(spark: SparkSession, folder: str) -> DataFrame:
+    bundles = table(spark, folder, "bundles").groupBy("bundle_id").agg(F.max("collected_at").alias("at"))
+    return bundles.select("bundle_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(at as timestamp_ntz))").alias("collected_us"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     nodes = table(spark, folder, "nodes").select(F.substring_index(F.lower(F.trim("hostname")), ".", 1).alias("host"), "tz")
     hosts = nodes.where("host is not null").groupBy("host").agg(F.min("tz").alias("tz"), F.max("tz").alias("other")).select("host", F.when(F.col("tz") == F.col("other"), F.col("tz")).alias("tz"))
-    bundles = table(spark, folder, "bundles").groupBy("bundle_id").agg(F.max("collected_at").alias("at"))
-    collected = bundles.select("bundle_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(at as timestamp_ntz))").alias("collected_us"))
+    collected = collection_times(spark, folder)
     path = F.col("source_relpath")
     events = table(spark, folder, "event_candidates").select("event_id", "bundle_id", F.coalesce("ts_raw", "ts").alias("text"), host_of(path).alias("host"), F.concat_ws("/", host_of(path), F.regexp_replace(path, r"^[^/]*/[^/]*/", "")).alias("source"))
     events = events.dropDuplicates(["event_id"]).join(small(hosts), "host", "left").join(small(collected), "bundle_id", "left")
@@ -36,7 +41,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.withColumnRenamed("key", "peer")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.col("source_relpath")
+    lines = table(spark, folder, "bundle_lines").withColumn("__bundle", F.regexp_extract(path, r"^bundle-0*(\d+)/", 1).try_cast("bigint"))
+    joined = lines.join(small(collection_times(spark, folder).withColumnRenamed("bundle_id", "__bundle").withColumnRenamed("collected_us", "__latest")), "__bundle", "left")
+    return log_entries(joined, path, F.col("line_number"), F.col("line"), F.col("__latest")).withColumnRenamed("path", "source_relpath")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
 
 SQL = {
     "p4_found": r"""
