@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spelling
 from ..session import table
-from . import bpe, frequencies, leaks, runs, spans
+from . import bpe, frequencies, leaks, pii, runs, spans
 
 #: Ids in fewer records than this are rare; ids in more than this share of the records are common.
 RARE_RECORDS, COMMON_SHARE = 3, 0.5
@@ -24,6 +24,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(F.broadcast(records), "field").select(F.col("field").alias("field_name"), F.col("term").alias("signature_id"), "n_total", "n_records", mark.alias("freq_mark"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "event_candidates"), [F.col("event_id")], ["message", "excerpt"])
+    return found.select("event_id", F.inline("found")).select("event_id", "field_name", "kind", "found_text").distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "timeline_events")
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
@@ -44,7 +49,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 SQL = {
     "p1_found": r"""
