@@ -225,13 +225,14 @@ def personal_data(rows: DataFrame, keys: list[Column], fields: list[str]) -> Dat
     fields are read; result columns are the given key names, ``found`` and ``masked_<field>``.
     """
     picked = rows.select(*keys, *[F.col(f).alias(f"__f{k}") for k, f in enumerate(fields)])
-    key_names = picked.columns[: len(keys)]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keys)]), f"found {FOUND_DDL}", *(f"masked_{f} string" for f in fields)])
+    n = len(keys)
+    key_names = picked.columns[:n]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:n]), f"found {FOUND_DDL}", *(f"masked_{f} string" for f in fields)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_all, cleaned = [], [[] for _ in fields]
-            for texts in zip(*(batch.column(len(keys) + k).to_pylist() for k in range(len(fields)))):
+            for texts in zip(*(batch.column(n + k).to_pylist() for k in range(len(fields)))):
                 found: list[dict] = []
                 done: dict[str, list] = {}
                 for k, (field, text) in enumerate(zip(fields, texts)):
@@ -244,6 +245,6 @@ def personal_data(rows: DataFrame, keys: list[Column], fields: list[str]) -> Dat
                     found += [{"field_name": field, "kind": kind, "found_text": text[a:z], "start": a, "stop": z} for a, z, kind in got]
                     cleaned[k].append(masked(text, got) if got else text)
                 found_all.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found_all, FOUND), *(pa.array(c, pa.string()) for c in cleaned)], [*key_names, "found", *(f"masked_{f}" for f in fields)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found_all, FOUND), *(pa.array(c, pa.string()) for c in cleaned)], [*key_names, "found", *(f"masked_{f}" for f in fields)])
 
     return picked.mapInArrow(run, ddl)
