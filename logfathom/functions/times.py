@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from calendar import monthrange
+from collections.abc import Iterator
 from datetime import date, datetime, timezone
 from typing import NamedTuple
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
@@ -62,15 +63,14 @@ class Times(NamedTuple):
     us: int | None
 
 
-def readings(text: str) -> list[Reading]:
-    """Every reading that the form of the text and the calendar allow."""
+def readings(text: str) -> Iterator[Reading]:
+    """Every reading that the form of the text and the calendar allow, in the order of ``FORMATS``."""
     if len(text) > LONGEST:
-        return []
+        return
     wrapped = _WRAPPED.fullmatch(text.strip())
     inner = wrapped and next(g for g in wrapped.groups() if g is not None).strip()
-    out: list[Reading] = []
     if not inner:
-        return out
+        return
     for form, pattern in FORMATS:
         m = pattern.fullmatch(inner)
         if m is None:
@@ -78,7 +78,7 @@ def readings(text: str) -> list[Reading]:
         g = m.groupdict()
         micro = int((g.get("f") or "0").ljust(6, "0")[:6])
         if "epoch" in g:
-            out.append(Reading(form, None, 0, 0, 0, "", int(g["epoch"]) * SECOND + micro))
+            yield Reading(form, None, 0, 0, 0, "", int(g["epoch"]) * SECOND + micro)
             continue
         h, mi, s = int(g["h"]), int(g["mi"]), int(g["s"])
         if g.get("half"):
@@ -90,8 +90,7 @@ def readings(text: str) -> list[Reading]:
         day = int(g["d"])
         if h > 23 or mi > 59 or s > 59 or not 1 <= month <= 12 or year == 0 or not 1 <= day <= monthrange(year or 2000, month)[1]:
             continue
-        out.append(Reading(form, year, month, day, ((h * 60 + mi) * 60 + s) * SECOND + micro, (g.get("z") or "").upper(), None))
-    return out
+        yield Reading(form, year, month, day, ((h * 60 + mi) * 60 + s) * SECOND + micro, (g.get("z") or "").upper(), None)
 
 
 class Zone:
