@@ -38,3 +38,14 @@ def peer_name(text: Column) -> Column:
 def peer_port(text: Column) -> Column:
     """The port written behind an IPv4 address, else null."""
     return F.regexp_extract(text, IPV4 + r"\]?:(\d{1,9})", 2).try_cast("int")
+
+
+def snake_type(text: Column) -> Column:
+    """An event type as ``words_with_underscores``, however it is written."""
+    split = F.regexp_replace(F.trim(text, F.lit(OUTER_SPACE)), r"([a-z0-9])([A-Z])", "$1_$2")
+    return blank_to_null(F.lower(F.regexp_replace(split, r"[ -]+", "_")))
+
+
+def safe_file_name(host: Column) -> Column:
+    """A host name that is good as a part of a file name."""
+    return F.regexp_replace(host, r"[^A-Za-z0-9._-]+", "_")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import p_core
+from . import p_core, reference
 
-QUERIES = {**p_core.QUERIES}
-SQL = {**p_core.SQL}
-flagship = p_core.p4_found
+QUERIES = {**p_core.QUERIES, **reference.QUERIES}
+SQL = {**p_core.SQL, **reference.SQL}
+flagship = reference.flagship
