@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spelling
+from ..functions.epoch import epoch_us
 from ..operators.loglines import log_entries
 from ..operators.sessions import merge_sessions
 from ..operators.timestamps import normalise_times
@@ -21,7 +22,7 @@ def host_of(relpath):
 
 def collection_times(spark: SparkSession, folder: str) -> DataFrame:
     bundles = table(spark, folder, "bundles").groupBy("bundle_id").agg(F.max("collected_at").alias("at"))
-    return bundles.select("bundle_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(at as timestamp_ntz))").alias("collected_us"))
+    return bundles.select("bundle_id", epoch_us(bundles, "at").alias("collected_us"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,8 +37,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "timeline_events")
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    sessions = merge_sessions(events, spelling.peer_ipv4(F.col("peer")), us, spelling.canonical_type(F.col("event_type")), [F.col("event_id"), F.col("source_relpath"), F.col("line_number")], SESSION_GAP_US)
+    sessions = merge_sessions(events, spelling.peer_ipv4(F.col("peer")), epoch_us(events, "ts"), spelling.canonical_type(F.col("event_type")), [F.col("event_id"), F.col("source_relpath"), F.col("line_number")], SESSION_GAP_US)
     return sessions.withColumnRenamed("key", "peer")
 
 
@@ -59,7 +59,7 @@ with rows as (
 marked as (
   select *, case when us - lag(us) over (partition by peer order by us) <= 1800000000 then 0 else 1 end as opens
   from rows where peer is not null),
-numbered as (select *, sum(opens) over (partition by peer order by us rows unbounded preceding) as s from marked)
+numbered as (select *, sum(opens) over (partition by peer order by us) as s from marked)
 select peer, min(us) as start_us, max(us) as end_us, count(*) as n_events, count(distinct kind) as n_types
 from numbered group by peer, s
 """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import durations, severity, spelling
 from ..functions import text as T
+from ..functions.epoch import epoch_us
 from ..operators import bursts, filters, findings, frames, incidents, inventory, journal, matching, redact, snapshot, timeline
 from ..rules import packs
 from ..session import table
@@ -14,16 +15,12 @@ from ..session import table
 MINUTE, HOUR = 60_000_000, 3_600_000_000
 
 
-def micros(ts: str):
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
-
-
 def timeline_events(spark: SparkSession, folder: str) -> DataFrame:
     """The events once each, with types, machines and ports in one spelling."""
     t = table(spark, folder, "timeline_events")
     peer = F.col("peer")
     return t.select(
-        "event_id", "bundle_id", spelling.snake_type(F.col("event_type")).alias("event_type"), "severity", "confidence", micros("ts").alias("us"), "source_relpath", "line_number",
+        "event_id", "bundle_id", spelling.snake_type(F.col("event_type")).alias("event_type"), "severity", "confidence", epoch_us(t, "ts").alias("us"), "source_relpath", "line_number",
         spelling.peer_ipv4(peer).alias("peer"), F.coalesce(F.col("port"), spelling.peer_port(peer)).alias("port"), "reason", "message",
     ).distinct()
 
@@ -180,7 +177,7 @@ def q11_events_with_storms(spark, folder):
 
 
 _WIN = f"""{TE}, o as (select *, case when us - lag(us) over (partition by source_relpath order by us) <= {2 * MINUTE} then 0 else 1 end as opens from te where us is not null),
-    w as (select *, sum(opens) over (partition by source_relpath order by us rows unbounded preceding) as "window" from o)"""
+    w as (select *, sum(opens) over (partition by source_relpath order by us) as "window" from o)"""
 
 
 def _windows(spark, folder):
