@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spelling
+from ..functions.epoch import epoch_us
 from ..session import table
 from . import bpe, frequencies, leaks, pii, runs, spans
 
@@ -31,9 +32,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "timeline_events")
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
     fields = [spelling.canonical_type(F.col("event_type")), spelling.peer_name(F.col("peer")), F.coalesce(F.col("port"), spelling.peer_port(F.col("peer")))]
-    found = runs.collapse_runs(events, F.col("source_relpath"), fields, F.col("event_id"), us, F.col("line_number"))
+    found = runs.collapse_runs(events, F.col("source_relpath"), fields, F.col("event_id"), epoch_us(events, "ts"), F.col("line_number"))
     return found.select(F.col("entity").alias("source_relpath"), "first_event_id", "last_event_id", "n_events")
 
 
