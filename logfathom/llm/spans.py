@@ -52,10 +52,10 @@ def sketch(batches: Iterable[pa.RecordBatch], span: int, gram: int, bits: int) -
 
 
 def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(PIECE, np.uint8)
+    total: np.ndarray | int = 0
     for body in pdf["body"]:
-        total = np.minimum(total + np.frombuffer(zlib.decompress(body), np.uint8), 2)
-    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "body": [zlib.compress(total.tobytes(), 1)]})
+        total = np.minimum(np.frombuffer(zlib.decompress(body), np.uint8) + total, 2)
+    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "body": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]})
 
 
 def anchors(batches: Iterable[pa.RecordBatch], span: int, gram: int, bits: int, seen: Broadcast) -> Iterator[pa.RecordBatch]:
