@@ -18,8 +18,8 @@ def table_rows(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     A header row, with ENDPOINT in it, begins a section; its cells in lower case with underscores name those of the rows below.
     Rows with another number of cells are dropped. Each text is one row, so nothing is shuffled.
     """
-    lines = F.filter(F.transform(F.split(F.col(text), r"\r?\n"), F.trim), lambda x: x.startswith("|") & x.endswith("|"))
-    cells = F.transform(lines, lambda x: F.transform(F.filter(F.split(x, r"\|"), lambda c, i: (i > 0)), F.trim))
+    lines = F.filter(F.transform(F.split(F.col(text), r"\r?\n"), lambda c: F.trim(c)), lambda x: x.startswith("|") & x.endswith("|"))
+    cells = F.transform(lines, lambda x: F.transform(F.filter(F.split(x, r"\|"), lambda c, i: (i > 0)), lambda c: F.trim(c)))
     cells = F.transform(cells, lambda c: F.slice(c, 1, F.size(c) - 1))
     exploded = texts.select(*keys, F.posexplode(cells).alias("row", "cells"))
     is_header = F.exists("cells", lambda c: F.upper(c) == "ENDPOINT")
