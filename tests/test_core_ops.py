@@ -180,6 +180,13 @@ def test_long_entry_over_partitions(spark):
     assert got[("f", 4000)][0] == 1 and len(got) == 2
 
 
+def test_entries_with_joined_templates(spark, monkeypatch):
+    rows = [("f", k, f"2024-03-05 09:59:{k:02},000 INFO x.{k % 3} - took {k}") for k in range(40)] + [("f", 40, "more")]
+    want = entries(spark, rows)
+    monkeypatch.setattr(loglines, "BROADCAST_ROWS", 0)
+    assert entries(spark, rows) == want and len(want) == 40 and want[("f", 39)][0] == 2
+
+
 def test_entries_of_nothing(spark):
     assert entries(spark, []) == {}
     assert entries(spark, [("f", 1, "x")]) == {}
@@ -207,7 +214,7 @@ def test_storms_like_two_pointers(spark):
             if i - j + 1 == 6:
                 want[(k, own[j][0])] += 1
     df = spark.createDataFrame(rows, "kind string, us bigint, id int")
-    got = Counter((x["id"], x["window_start_us"]) for x in frames.storms(df, ["kind"], "us", "id", 10, 6, 10).collect())
+    got = Counter((x["id"], x["window_start_us"]) for x in frames.storms(df, ["kind"], "us", "id", 10, 6).collect())
     assert got == want and want
 
 
