@@ -24,27 +24,19 @@ def slotted(rows: DataFrame, us: str, reach_us: int, forward: bool = False) -> D
     return rows.withColumn("slot", F.explode(slots)).withColumn("own", F.col("slot") == own)
 
 
-def storms(events: DataFrame, keys: list[str], us: str, ord_: str, window_us: Column | int, count: Column | int, reach_us: int) -> DataFrame:
+def storms(events: DataFrame, keys: list[str], us: str, ord_: str, window_us: int, count: int) -> DataFrame:
     """Events at which the number of events of their key in the last ``window_us`` is exactly ``count``.
 
     Adds storm_count and window_start_us. The count is that of a sliding pair of pointers over the order (us, ord): it
     takes in the events at exactly ``window_us`` before and, of equal times, only those that come first. It fires again
-    whenever the count returns to or stays at ``count``. ``window_us`` and ``count`` may be columns that are constant for a key;
-    ``reach_us`` is the longest window. Rows without a time are left out.
+    whenever the count returns to or stays at ``count``. Rows without a time are left out.
     """
-    rows = slotted(events.where(F.col(us).isNotNull()), us, reach_us)
+    rows = slotted(events.where(F.col(us).isNotNull()), us, window_us)
     part = W.partitionBy(*keys, "slot")
     ordered = rows.withColumn("__rn", F.row_number().over(part.orderBy(us, ord_)))
-    window = F.lit(window_us) if isinstance(window_us, int) else window_us
-    need = F.lit(count) if isinstance(count, int) else count
-    frame = part.orderBy(us).rangeBetween(-reach_us, 0)
-    if isinstance(window_us, int):
-        first, start = F.min("__rn").over(frame), F.min(us).over(frame)
-    else:
-        inside = F.filter(F.collect_list(F.struct("__rn", F.col(us).alias("u"))).over(frame), lambda x: x["u"] >= F.col(us) - window)
-        first, start = F.array_min(F.transform(inside, lambda x: x["__rn"])), F.array_min(F.transform(inside, lambda x: x["u"]))
-    counted = ordered.withColumn("storm_count", F.col("__rn") - first + 1).withColumn("window_start_us", start)
-    return counted.where(F.col("own") & (F.col("storm_count") == need)).drop("__rn", "slot", "own")
+    frame = part.orderBy(us).rangeBetween(-window_us, 0)
+    counted = ordered.withColumn("storm_count", F.col("__rn") - F.min("__rn").over(frame) + 1).withColumn("window_start_us", F.min(us).over(frame))
+    return counted.where(F.col("own") & (F.col("storm_count") == count)).drop("__rn", "slot", "own")
 
 
 def counts_ahead(events: DataFrame, keys: list[str], us: str, reach_us: int, sums: dict[str, Column]) -> DataFrame:

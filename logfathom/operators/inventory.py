@@ -61,3 +61,25 @@ def sections(lines: DataFrame, keys: list[str], number: str, line: str, begins:
     flagged = opened.where("section is not null").withColumn("at", F.last(F.when(F.trim(line) == start, F.col(number)), ignorenulls=True).over(inner)).withColumn("blank", F.last(F.when(F.trim(line) == "", F.col(number)), ignorenulls=True).over(inner))
     hit = F.contains(F.col(line), F.lit(wanted)) & F.col("at").isNotNull() & (F.col("blank").isNull() | (F.col("blank") < F.col("at")))
     return flagged.groupBy(*keys, "section").agg(F.bool_or(hit).alias("found"))
+
+
+def facts(lines: DataFrame, keys: list[str], number: str, line: str, patterns: dict[str, str]) -> DataFrame:
+    """(keys, one column for each fact): the first group of the first line of each key that a fact's pattern matches.
+
+    One aggregation with map-side combine gives all facts, such as host name, address, system and uptime of a node.
+    """
+    found = {n: F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for n, p in patterns.items()}
+    return lines.groupBy(*keys).agg(*[F.min_by(v, F.when(v.isNotNull(), F.col(number))).alias(n) for n, v in found.items()])
+
+
+def keyword_bucket(pattern: Column) -> Column:
+    """What a pattern is about, of control-plane matters: store, leadership, election, clock; else null."""
+    low = F.lower(pattern)
+    return F.when(low.rlike("etcd"), "store").when(low.rlike("leader"), "leadership").when(low.rlike("election"), "election").when(low.rlike("clock|systime|time sync"), "clock")
+
+
+def endpoint_hosts(endpoints: DataFrame, endpoint: str, nodes: DataFrame, address: str, hostname: str) -> DataFrame:
+    """The endpoints with ``hostname``, the node whose address stands in them; of several the first by name."""
+    known = nodes.where(F.col(address).isNotNull()).groupBy(F.col(address).alias("__ip")).agg(F.min(hostname).alias("hostname"))
+    ip = F.regexp_extract(endpoint, r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})", 1)
+    return endpoints.withColumn("__ip", ip).join(known, "__ip", "left").drop("__ip")

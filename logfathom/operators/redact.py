@@ -14,11 +14,12 @@ MAC = r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b|\b[0-9A-Fa-f]{4}\.[0-9A-Fa-f
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b"
 SHA256 = r"\bsha256:[0-9a-fA-F]{64}\b"
 CONTAINER = r"(?<=\"Id\": ?\"|container[ _]id[:=] ?|docker://|containerd://|/containers/)[0-9a-fA-F]{64}"
-CERTIFICATE = r"\b(?:DNS:|IP Address:|CN=system:node:|CN:system:node:|CN=)[^,\s/]+"
-URL = r"\b[a-zA-Z][a-zA-Z0-9+.-]*://[^\s'\"<>]+"
-HOST_PORT = r"\b[A-Za-z0-9][A-Za-z0-9.-]*:[0-9]{1,5}\b"
+#: A word that may be a host, wherever it stands: in a URL, before a port, in a certificate's names or by itself. Only known hosts are replaced.
+HOST = r"\b[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\b"
 #: Entity classes in the order in which they take precedence, with the form of each pseudonym.
 CLASSES = {"email": EMAIL, "sha256": SHA256, "mac": MAC, "ip": IPV4}
+#: Classes that are looked up but not discovered: their entities come from an inventory.
+SEEDED = {"container": CONTAINER, "host": HOST}
 
 
 def pseudonym(entity: Column, n: Column) -> Column:
@@ -44,6 +45,34 @@ def tokens(texts: DataFrame, text: str, classes: tuple[str, ...] = tuple(CLASSES
     return texts.where(F.col(text).isNotNull()).select(F.explode(found).alias("t")).select("t.entity", "t.original").distinct()
 
 
+def seeds(nodes: DataFrame, hostname: str, address: str, cluster: str, node_id: str) -> DataFrame:
+    """(entity, original) of the hosts, addresses, clusters and node ids of an inventory, in lower case; blanks are left out."""
+    columns = (("host", hostname), ("ip", address), ("cluster", cluster), ("node", node_id))
+    named = F.array(*[F.struct(F.lit(e).alias("entity"), F.lower(F.trim(F.col(c))).alias("original")) for e, c in columns])
+    return nodes.select(F.inline(named)).where("original <> ''").distinct()
+
+
+def with_short_hosts(mapped: DataFrame) -> DataFrame:
+    """The mapping with the first label of each dotted host as well, as the first label of its pseudonym.
+
+    A label that several hosts share goes to the first of them; a host that is known by the label alone keeps its own.
+    """
+    dotted = mapped.where((F.col("entity") == "host") & F.contains("original", F.lit(".")))
+    label = F.substring_index("original", ".", 1)
+    short = dotted.groupBy(label.alias("original")).agg(F.min(F.substring_index("replacement", ".", 1)).alias("replacement")).withColumn("entity", F.lit("host"))
+    fresh = short.join(mapped.where("entity = 'host'").select("original"), "original", "left_anti")
+    return mapped.unionByName(fresh.select("entity", "original", "replacement"))
+
+
+def rewrite_columns(rows: DataFrame, columns: dict[str, str], mapped: DataFrame) -> DataFrame:
+    """Whole cells replaced: ``columns`` names the entity class of each column; unknown cells stay."""
+    out = rows
+    for c, entity in columns.items():
+        known = small(mapped.where(F.col("entity") == entity).select(F.col("original").alias("__original"), F.col("replacement").alias("__replacement")))
+        out = out.join(known, F.lower(F.trim(F.col(c))) == F.col("__original"), "left").withColumn(c, F.coalesce("__replacement", c)).drop("__original", "__replacement")
+    return out
+
+
 def mapping(entities: DataFrame) -> DataFrame:
     """(entity, original, replacement): dense pseudonyms in the order of the originals, the same in every run.
 
@@ -65,7 +94,8 @@ def rewrite(texts: DataFrame, keys: list[str], text: str, mapped: DataFrame, cla
     shuffled one) and joined again in place, so a pseudonym is never rewritten. Tokens without a mapping stay. Null
     texts stay null.
     """
-    pattern = "|".join(f"(?:{CLASSES[c]})" for c in classes)
+    forms = CLASSES | SEEDED
+    pattern = "|".join(f"(?:{forms[c]})" for c in classes)
     parts, toks = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
     pieces = texts.select(*keys, text, F.posexplode_outer(F.arrays_zip(parts.alias("part"), toks.alias("token"))).alias("pos", "piece"))
     found = small(mapped.select(F.col("original").alias("__original"), "replacement"))

@@ -98,7 +98,7 @@ def store_incidents(spark: SparkSession, root: str, out: str, levels: list[int]
     parts = [base]
     for rule in packs.STORE.storms:
         own = base.where(F.col("event_type") == rule.event_type)
-        storm = frames.storms(own, ["source_relpath", "event_type"], "us", "line_number", rule.window_s * 1_000_000, rule.count, rule.window_s * 1_000_000)
+        storm = frames.storms(own, ["source_relpath", "event_type"], "us", "line_number", rule.window_s * 1_000_000, rule.count)
         parts.append(storm.select("source_relpath", "line_number", "us", F.lit(f"storm_{rule.event_type}").alias("event_type"), F.lit(rule.severity).alias("severity"), F.lit(None).cast("double").alias("ms"), "key"))
     both = parts[0]
     for p in parts[1:]:

@@ -159,7 +159,7 @@ def q09_duration_severity(spark, folder):
     select event_id, event_type, storm_count, window_start_us from c where storm_count = 5"""
 )
 def q10_storms(spark, folder):
-    found = frames.storms(timeline_events(spark, folder), ["source_relpath", "event_type"], "us", "event_id", 10 * MINUTE, 5, 10 * MINUTE)
+    found = frames.storms(timeline_events(spark, folder), ["source_relpath", "event_type"], "us", "event_id", 10 * MINUTE, 5)
     return found.select("event_id", "event_type", F.col("storm_count").cast("bigint").alias("storm_count"), "window_start_us")
 
 
@@ -171,7 +171,7 @@ def q10_storms(spark, folder):
 )
 def q11_events_with_storms(spark, folder):
     events = timeline_events(spark, folder)
-    found = frames.storms(events, ["source_relpath", "event_type"], "us", "event_id", 10 * MINUTE, 5, 10 * MINUTE)
+    found = frames.storms(events, ["source_relpath", "event_type"], "us", "event_id", 10 * MINUTE, 5)
     both = events.where("us is not null").select("source_relpath", "event_type", "us", "severity").unionByName(found.select("source_relpath", F.concat(F.lit("storm_"), "event_type").alias("event_type"), "us", F.lit("high").alias("severity")))
     return filters.by_level(both, "severity", [1, 2])
 
@@ -322,7 +322,18 @@ def q25_entity_mapping(spark, folder):
     return redact.mapping(redact.tokens(candidate_lines(spark, folder), "message"))
 
 
-@query()
+def _rewritten(table_: str, keys: str, text: str, pattern: str, map_: str) -> str:
+    """SQL that looks up every token of a text and joins the pieces again."""
+    return f"""m as (select map(list(original), list(replacement)) as m from {map_}),
+  s as (select {keys}, {text} as t, regexp_split_to_array({text}, '{pattern}') as parts, regexp_extract_all({text}, '{pattern}') as toks from {table_}),
+  z as (select {keys}, t, list_transform(list_zip(parts, toks), lambda x: coalesce(x[1], '') || coalesce(m[lower(x[2])], x[2], '')) as p, len(list_filter(toks, lambda x: m[lower(x)] is not null)) as n from s, m)
+  select {keys}, case when t is not null then array_to_string(p, '') end as redacted, coalesce(n, 0) as n_replaced from z"""
+
+
+_ALL = "|".join(f"(?:{_RX[c]})" for c in redact.CLASSES)
+
+
+@query(f"with {_MAP}, {_rewritten('ec', 'event_id', 'message', _ALL, 'map')}")
 def q26_redact_messages(spark, folder):
     lines = candidate_lines(spark, folder)
     return redact.rewrite(lines, ["event_id"], "message", redact.mapping(redact.tokens(lines, "message")))
@@ -475,5 +486,42 @@ def q46_lint_cross_reference(spark, folder):
     return used.join(defined, "event_type", "left_anti").distinct()
 
 
+_HOSTS = """h as (select distinct lower(hostname) as original from nodes where trim(hostname) <> ''),
+  hm as (select original, 'host-' || lpad(cast(row_number() over (order by original) as varchar), 3, '0') || '.example.invalid' as replacement from h)"""
+
+
+@query(f"with {BL}, {_HOSTS}, {_rewritten('bl', 'source_relpath, line_number', 'line', redact.HOST, 'hm')}")
+def q47_redact_hosts(spark, folder):
+    hosts = redact.mapping(redact.seeds(table(spark, folder, "nodes"), "hostname", "address", "cluster_id", "node_id").where("entity = 'host'"))
+    return redact.rewrite(bundle_lines(spark, folder), ["source_relpath", "line_number"], "line", hosts, ("host",))
+
+
+_FACTS = {"first_peer": r"failed to reach peer ([0-9.]+)", "first_timeout": r"handshake with ([0-9.]+:[0-9]+) timed out", "first_count": r"error count ([0-9]+)"}
+
+
+@query(f"with {BL} select source_relpath, {', '.join(f"arg_min(nullif(regexp_extract(line, '{p}', 1), ''), line_number) filter (regexp_matches(line, '{p}')) as {n}" for n, p in _FACTS.items())} from bl group by 1")
+def q48_first_facts(spark, folder):
+    return inventory.facts(bundle_lines(spark, folder), ["source_relpath"], "line_number", "line", _FACTS)
+
+
+@query(f"with {EC}, p as (select unnest([{', '.join("'" + _q(p) + "'" for p in packs.PATTERNS)}]) as pattern), c as (select pattern, count(ec.message) as n from p left join ec on regexp_matches(ec.message, pattern) group by 1), b as (select case when lower(pattern) like '%etcd%' then 'store' when lower(pattern) like '%leader%' then 'leadership' when lower(pattern) like '%election%' then 'election' when regexp_matches(lower(pattern), 'clock|systime|time sync') then 'clock' end as bucket, n from c) select bucket, count(*) as n_patterns, cast(sum(n) as bigint) as n from b where bucket is not null group by 1")
+def q49_keyword_buckets(spark, folder):
+    counted = matching.with_zeros(matching.count_patterns(candidate_lines(spark, folder), "source_relpath", "line_number", "message", packs.PATTERNS), packs.PATTERNS)
+    return counted.withColumn("bucket", inventory.keyword_bucket(F.col("pattern"))).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n_patterns"), F.sum("n").cast("bigint").alias("n"))
+
+
+@query(f"with {TE}, a as (select address, min(hostname) as hostname from nodes where address is not null group by 1) select peer, hostname, count(*) as n from te left join a on a.address = te.peer where peer is not null group by 1, 2")
+def q50_endpoint_hosts(spark, folder):
+    peers = timeline_events(spark, folder).where("peer is not null").groupBy("peer").agg(F.count("*").alias("n"))
+    return inventory.endpoint_hosts(peers, "peer", table(spark, folder, "nodes"), "address", "hostname").select("peer", "hostname", "n")
+
+
+@query("select lower(hostname) as original, 'host-' || lpad(cast(row_number() over (order by lower(hostname)) as varchar), 3, '0') || '.example.invalid' as hostname, 'node-' || lpad(cast(row_number() over (order by lower(node_id)) as varchar), 3, '0') as node_id from nodes")
+def q51_redact_columns(spark, folder):
+    nodes = table(spark, folder, "nodes")
+    mapped = redact.mapping(redact.seeds(nodes, "hostname", "address", "cluster_id", "node_id"))
+    return redact.rewrite_columns(nodes.select(F.lower("hostname").alias("original"), "hostname", "node_id"), {"hostname": "host", "node_id": "node"}, mapped)
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return q12_incident_windows(spark, folder)
