@@ -38,9 +38,9 @@ def date_window(events: DataFrame, us: str, center: str, days: int) -> DataFrame
 
 
 def last_days(events: DataFrame, us: str, days: int) -> DataFrame:
-    """Events of the last ``days`` days before the newest event; the newest is one value, so it is broadcast."""
-    newest = events.agg(F.max(us).alias("__newest"))
-    return events.crossJoin(F.broadcast(newest)).where(F.col(us).between(F.col("__newest") - days * DAY_US, F.col("__newest"))).drop("__newest")
+    """Events of the last ``days`` days before the newest event, which is looked up first; without a time there is none."""
+    newest = events.agg(F.max(us)).first()[0]
+    return events.where(F.lit(False)) if newest is None else events.where(F.col(us).between(newest - days * DAY_US, newest))
 
 
 def by_level(events: DataFrame, level: str, levels: list[int]) -> DataFrame:
