@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept with their ids in each Python worker; the store is emptied when full.
 PIECES = 200_000
+#: Pairs of tokens kept with their compatibility in each Python worker, likewise.
+PAIRS = 500_000
 #: A vocabulary file larger than this is no vocabulary; it bounds what is broadcast.
 MOST_BYTES = 64 << 20
 
@@ -92,7 +94,7 @@ class Encoder:
             self.automaton.make_automaton()
             self.ends = self.automaton.iter
         except ImportError:
-            self.ids = dict(names[::1])
+            self.ids = dict(names)
             self.longest = max(len(n) for n, _ in names)
             self.ends = self._ends
 
@@ -126,7 +128,7 @@ class Encoder:
                     before, a = a, split[a][1]
                 else:
                     before, b = b + 1, split[b][0]
-            if len(self.may) > 2_000_000:
+            if len(self.may) >= PAIRS:
                 self.may.clear()
             self.may[key] = held
         return held
