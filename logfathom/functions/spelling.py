@@ -49,3 +49,8 @@ def snake_type(text: Column) -> Column:
 def safe_file_name(host: Column) -> Column:
     """A host name that is good as a part of a file name."""
     return F.regexp_replace(host, r"[^A-Za-z0-9._-]+", "_")
+
+
+def host_key(text: Column) -> Column:
+    """A host name without any blanks, in lower case."""
+    return blank_to_null(F.lower(F.regexp_replace(text, r"\s+", "")))

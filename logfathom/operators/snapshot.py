@@ -83,3 +83,16 @@ def topology_risk(n_hosts: Column, n_endpoints: Column) -> Column:
     """What the number of voters allows: none may fail below three, an even number adds nothing."""
     n = F.least(n_hosts, n_endpoints)
     return F.when(n < 3, "no failure tolerated").when(n % 2 == 0, "even number of voters").otherwise("ok")
+
+
+def synthesis(status: DataFrame, health: DataFrame, scope: list[str]) -> DataFrame:
+    """One row for each scope: terms, drifts, members, leader and its votes, latencies, slow endpoints and risk.
+
+    ``status`` has (scope, host, endpoint, term, raft_index, applied_index, is_learner, leader), ``health`` (scope, endpoint, took_ms).
+    """
+    raft = raft_metrics(status, scope, "term", "raft_index", "applied_index", F.col("is_learner"))
+    vote = leader_vote(status, scope, "leader")
+    latency = health_metrics(health, scope, "endpoint", "took_ms")
+    slow = slow_endpoints(health, scope, "endpoint", "took_ms").groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("endpoint", "n_slow", "n_seen", "significant", "pattern"))).alias("slow_endpoints"))
+    voters = status.groupBy(*scope).agg(F.count_distinct("host").alias("n_hosts"), F.count_distinct("endpoint").alias("n_endpoints")).withColumn("risk", topology_risk(F.col("n_hosts"), F.col("n_endpoints")))
+    return raft.join(vote, scope, "left").join(latency, scope, "left").join(slow, scope, "left").join(voters, scope, "left")

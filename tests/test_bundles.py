@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logfathom import cli
-from logfathom.functions import durations, severity
+from logfathom.functions import durations, payload, severity, spelling
 from logfathom.functions import text as T
-from logfathom.operators import filters, inventory, journal, matching, snapshot, timeline
+from logfathom.operators import filters, inventory, journal, matching, redact, snapshot, timeline
 from logfathom.plans import pipelines
 from logfathom.rules import lint, loader, packs
 from logfathom.sinks import tables
@@ -164,6 +164,33 @@ def test_text_functions(spark):
         severity.allowed([5])
 
 
+def test_payloads(spark):
+    df = spark.createDataFrame([('x {"ts":"a","n":1}',), ("[1]",), ("{bad",), (None,)], "l string")
+    assert [r[0] for r in df.select(payload.json_payload(F.col("l"))).collect()] == ['{"ts":"a","n":1}', None, None, None]
+    assert [r[0] for r in df.select(payload.payload_value(F.col("l"), "time", "ts")).collect()] == ["a", None, None, None]
+    d = spark.createDataFrame([("31/12/2024",), ("31/02/2024",), ("2024-12-31",)], "s string")
+    assert [str(r[0]) for r in d.select(payload.day_month_year(F.col("s"))).collect()] == ["2024-12-31", "None", "None"]
+    assert d.select(payload.after(F.lit("Kernel: 5.1"), "Kernel:")).first()[0] == "5.1"
+    assert d.select(payload.assignment(F.lit('NAME="x y"'), "NAME")).first()[0] == "x y"
+    assert d.select(spelling.host_key(F.lit(" Host A "))).first()[0] == "hosta"
+
+
+def test_synthesis(spark):
+    status = spark.createDataFrame([("c", f"h{k}", f"e{k}", 5, 100 + k * 80, 90 + k, False, "e1" if k else None) for k in range(3)], "scope string, host string, endpoint string, term int, raft_index int, applied_index int, is_learner boolean, leader string")
+    health = spark.createDataFrame([("c", "e0", 10.0), ("c", "e1", 200.0), ("c", "e1", 20.0), ("c", "e2", None)], "scope string, endpoint string, took_ms double")
+    r = snapshot.synthesis(status, health, ["scope"]).first()
+    assert (r["n_terms"], r["index_drift"], r["concerning"], r["leader"], r["n_votes"], r["stable"], r["slowest"], r["risk"]) == (1, 160, True, "e1", 2, False, "e1", "ok")
+    assert [(s["endpoint"], s["pattern"], s["significant"]) for s in r["slow_endpoints"]] == [("e1", "intermittent", True)]
+
+
+def test_seeded_redaction(spark):
+    nodes = spark.createDataFrame([("WRK-1.corp.example", "10.0.0.1", "c1", "n1"), ("mgr-2", " ", None, "n2")], "h string, a string, c string, i string")
+    mapped = redact.with_short_hosts(redact.mapping(redact.seeds(nodes, "h", "a", "c", "i")))
+    text = spark.createDataFrame([(1, "https://ops@wrk-1.corp.example:8443/x DNS:MGR-2, wrk-1 wrk-11 10.0.0.1")], "id int, t string")
+    got = redact.rewrite(text, ["id"], "t", mapped, ("ip", "host")).first()
+    assert got["redacted"] == "https://ops@host-002.example.invalid:8443/x DNS:host-001.example.invalid, host-002 wrk-11 10.0.1.1" and got["n_replaced"] == 4
+
+
 def test_globs():
     assert filters.days_around("2024-03-01", 1) == ["2024-02-29", "2024-03-01", "2024-03-02"]
 
