@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..rules.model import Compound, Heuristic
 from ..session import cut
-from .frames import counts_ahead
+from .frames import counts_ahead, slotted
 
 #: Findings of one heuristic in one scope.
 MOST = 5
@@ -92,9 +92,10 @@ def compound_times(events: DataFrame, scope: list[str], event_type: str, us: str
 def related_within(events: DataFrame, scope: list[str], event_type: str, us: str, event_id: str, first: str, then: str, within_us: int) -> DataFrame:
     """Events of one type with the latest earlier event of another type in their scope, if it is near enough.
 
-    An as-of join by one window over the union of both types; equal times count as earlier.
+    An as-of join by one window over both types, in time slots that overlap by the reach; equal times count as earlier.
     """
-    both = events.where(F.col(event_type).isin(first, then) & F.col(us).isNotNull())
-    w = W.partitionBy(*scope).orderBy(us, (F.col(event_type) == then).cast("int"), event_id).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = slotted(events.where(F.col(event_type).isin(first, then) & F.col(us).isNotNull()), us, within_us)
+    w = W.partitionBy(*scope, "slot").orderBy(us, (F.col(event_type) == then).cast("int"), event_id).rowsBetween(W.unboundedPreceding, W.currentRow)
     last = F.last(F.when(F.col(event_type) == first, F.struct(F.col(event_id).alias("id"), F.col(us).alias("us"))), ignorenulls=True).over(w)
-    return both.withColumn("__last", last).where((F.col(event_type) == then) & (F.col(us) - F.col("__last.us") <= within_us)).select(*scope, F.col(event_id), F.col("__last.id").alias("after_event_id"), (F.col(us) - F.col("__last.us")).alias("lag_us"))
+    near = both.withColumn("__last", last).where(F.col("own") & (F.col(event_type) == then) & (F.col(us) - F.col("__last.us") <= within_us))
+    return near.select(*scope, F.col(event_id), F.col("__last.id").alias("after_event_id"), (F.col(us) - F.col("__last.us")).alias("lag_us"))

@@ -23,10 +23,17 @@ def signature_groups(signals: DataFrame, keys: list[str], kind: str, line: str,
 
 
 def samples(signals: DataFrame, keys: list[str], us: str, id_: str, ends: int = 2) -> DataFrame:
-    """The first and last ``ends`` lines of each key, and how many between them are left out."""
-    w = W.partitionBy(*keys)
-    numbered = signals.withColumn("rn", F.row_number().over(w.orderBy(us, id_))).withColumn("of", F.count("*").over(w))
-    return numbered.where((F.col("rn") <= ends) | (F.col("rn") > F.col("of") - ends)).withColumn("suppressed", F.greatest(F.lit(0), F.col("of") - 2 * ends))
+    """The first and last ``ends`` lines of each key, and how many between them are left out.
+
+    Either end is a ranked limit, which Spark applies before the shuffle, so a hot key is a few rows by then.
+    """
+    counts = signals.groupBy(*keys).agg(F.count("*").alias("__of"))
+    up = F.row_number().over(W.partitionBy(*keys).orderBy(us, id_))
+    down = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(us), F.desc(id_)))
+    first = signals.withColumn("rn", up).where(F.col("rn") <= ends)
+    last = signals.withColumn("rn", down).where(F.col("rn") <= ends)
+    both = first.drop("rn").unionByName(last.join(counts, keys).where(F.col("__of") - F.col("rn") >= ends).drop("rn", "__of"))
+    return both.join(counts, keys).withColumn("suppressed", F.greatest(F.lit(0), F.col("__of") - 2 * ends)).drop("__of")
 
 
 def flatten_message(body: str):

@@ -46,9 +46,21 @@ def context(lines: DataFrame, path: str, number: str, line: str, pre: int, post:
     return both.withColumn("pre", before).withColumn("post", after).where("own").drop("slot", "own")
 
 
-def sequential_ids(events: DataFrame, scope: list[str], order: list[str], prefix: str = "evt_") -> DataFrame:
-    """Adds ``seq_id``: ``evt_000001`` and so on in each scope, in a total order."""
-    return events.withColumn("seq_id", F.concat(F.lit(prefix), F.lpad(F.row_number().over(W.partitionBy(*scope).orderBy(*order)).cast("string"), 6, "0")))
+def sequential_ids(events: DataFrame, scope: list[str], order: list[str], bucket: Column, prefix: str = "evt_") -> DataFrame:
+    """Adds ``seq_id``: ``evt_000001`` and so on in each scope, in a total order.
+
+    ``bucket`` rises with the order (a file's number, an hour). Rows are counted by bucket and numbered inside, so only
+    one row for each bucket of a scope is put in a single order. Nulls come first.
+    """
+    rows = events.withColumn("__bucket", bucket)
+    sums = rows.groupBy(*scope, "__bucket").agg(F.count("*").alias("__n"))
+    base = F.coalesce(F.sum("__n").over(W.partitionBy(*scope).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select(*[F.col(c).alias(f"__{c}") for c in scope], F.col("__bucket").alias("__of"), base.alias("__base"))
+    inside = rows.withColumn("__rn", F.row_number().over(W.partitionBy(*scope, "__bucket").orderBy(*order)))
+    on = [inside[c].eqNullSafe(bases[f"__{c}"]) for c in scope] + [inside["__bucket"].eqNullSafe(bases["__of"])]
+    number = (F.col("__base") + F.col("__rn")).cast("string")
+    named = inside.join(bases, on).withColumn("seq_id", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.lit(6), F.length(number)), "0")))
+    return named.drop("__bucket", "__rn", "__of", "__base", *[f"__{c}" for c in scope])
 
 
 def event_hash(relpath: Column, number: Column, signature_id: Column, ts: Column, event_type: Column, peer: Column, port: Column, message: Column) -> Column:

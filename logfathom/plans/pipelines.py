@@ -46,7 +46,7 @@ def triage(spark: SparkSession, root: str, out: str, severities: tuple[str, ...]
         raw = lines.read_lines(spark, paths, root)
         hits = matching.match_signatures(raw, "line", packs.HOST, severities=severities)
         timed = timed_lines(hits, latest_us=latest_us).withColumn("scope", F.lit(1))
-        events = cut(timeline.sequential_ids(timed, ["scope"], ["file_ord", "line_number", "sig_ord"]).withColumnRenamed("seq_id", "event_id"))
+        events = cut(timeline.sequential_ids(timed, ["scope"], ["file_ord", "line_number", "sig_ord"], F.struct("file_ord", F.floor(F.col("line_number") / 100_000))).withColumnRenamed("seq_id", "event_id"))
         if max_events is not None:
             ledger["events_truncated"] = events.limit(max_events + 1).count() > max_events
             events = events.orderBy("event_id").limit(max_events)

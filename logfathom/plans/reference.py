@@ -306,7 +306,7 @@ def q23_context_lines(spark, folder):
 @query(f"""with {TE} select event_id, 'evt_' || lpad(cast(row_number() over (partition by source_relpath order by us nulls first, line_number, event_id) as varchar), 6, '0') as seq_id,
     substr(sha1(concat_ws('|', coalesce(source_relpath, ''), coalesce(cast(line_number as varchar), ''), coalesce(event_type, ''), coalesce(cast(us as varchar), ''), coalesce(event_type, ''), coalesce(peer, ''), coalesce(cast(port as varchar), ''), coalesce(trim(regexp_replace(message, '\\s+', ' ', 'g')), ''))), 1, 12) as event_hash from te""")
 def q24_stable_event_ids(spark, folder):
-    e = timeline.sequential_ids(timeline_events(spark, folder), ["source_relpath"], ["us", "line_number", "event_id"])
+    e = timeline.sequential_ids(timeline_events(spark, folder), ["source_relpath"], ["us", "line_number", "event_id"], F.floor(F.col("us") / HOUR))
     return e.select("event_id", "seq_id", timeline.event_hash(*map(F.col, ("source_relpath", "line_number", "event_type", "us", "event_type", "peer", "port")), T.squeeze(F.col("message"))).alias("event_hash"))
 
 
@@ -372,8 +372,8 @@ def q30_journal_targets(spark, folder):
 
 
 _TPL = "line"
-for _p, _r in ((r'^time="[^"]+"\s+', ""), (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+(Z|[+-][0-9]{2}:[0-9]{2})\s+", ""), (r"https?://[0-9]{1,3}(\.[0-9]{1,3}){3}:[0-9]{2,5}", "<endpoint>"), (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}:[0-9]{2,5}\b", "<ip:port>"), (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "<ip>"), (r"(retrying in )[0-9]+[0-9A-Za-z_]", r"\1<n>"), (r"\b[0-9]+\b", "<n>"), (r"\s+", " ")):
-    _TPL = f"regexp_replace({_TPL}, '{_p}', '{_r}', 'g')"
+for _p, _r in T.MASKS:
+    _TPL = f"regexp_replace({_TPL}, '{_p}', '{_r.replace('$', chr(92))}', 'g')"
 _TPL = f"trim({_TPL})"
 
 
@@ -476,7 +476,7 @@ def q44_compound_rules(spark, folder):
   select bundle_id, kind, event_id, cast(greatest(0, c - 4) as bigint) as suppressed from n where rn <= 2 or rn > c - 2""")
 def q45_journal_samples(spark, folder):
     rows = candidate_lines(spark, folder).withColumn("kind", matching.first_match(F.col("message"), packs.JOURNAL)).where("kind is not null")
-    return journal.samples(rows, ["bundle_id", "kind"], "line_number", "event_id").select("bundle_id", "kind", "event_id", F.col("suppressed").cast("bigint").alias("suppressed"))
+    return journal.samples(rows, ["bundle_id", "kind"], "line_number", "event_id").select("bundle_id", "kind", "event_id", "suppressed")
 
 
 @query("select 'never_defined' as event_type union all select distinct event_type from (select unnest(['raft_election', 'memberlist_timeout']) as event_type) where false")
