@@ -92,7 +92,7 @@ _UPPER, _LOWER = "A-ZÀ-ÖØ-ÞŁŚŠŽČĆĐŐŰĞİ", "a-zß-öø-ÿłśšžč
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w](?:[\w.+%'-]*[\w])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@-])")
 #: Ends of unit names of the service manager, which have the form of an address.
 _UNITS = frozenset("service socket target timer mount automount slice scope device path swap".split())
-_PHONE_WORD = r"(?:phone|fon|tel|telephone|telefon|t[ée]l[ée]phone|tel[ée]fono|mobile|handy|cell|fax|sms|call|callback|reach|dial|ring|whatsapp|pager|contact|number|nr|no)"
+_PHONE_WORD = r"(?:phone|fon|tel|telephone|telefon|t[ée]l[ée]phone|tel[ée]fono|mobile|handy|cell|fax|sms|call|callback|reach|dial|ring|whatsapp|pager|contact)"
 _PHONE = re.compile(
     rf"""(?<![\w.+/-])(?<!\d:)(?:
       \+\d{{1,3}}(?:[\ .\-/]?\(?\d{{1,4}}\)?){{2,8}}
@@ -103,9 +103,13 @@ _PHONE = re.compile(
     rf"""| (?:\b{_PHONE_WORD}[.:=]?\s*(?:me\s+on\s+|at\s+|on\s+|to\s+|is\s+)?["']?|[{_LOWER}{_UPPER}.]\s/\s)(?P<local>\(?\d{{3}}\)?[-.\ ]\d{{4}}|\d{{3}}[-.\ ]\d{{3}}[-.\ ]\d{{4}}|0\d{{1,4}}[-/\ ]\d{{3,8}}|\d{{7,11}})(?![\w-])""",
     re.X | re.I,
 )
-_ID_WORD = r"(?:\b(?:id|ids|passport|passports|reisepass|pasaporte|passeport|ssn|nino|dni|nie|nif|ausweis|ausweis-nr|personnummer|licen[cs]e|identity|social\s+security|national\s+insurance)\b(?:\s*(?:number|no|nr|card))?\s*[.:=#]*\s*[\"'(]?)"
-_ID_FORM = r"(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|(?:19|20)?\d{6}[-+]\d{4}|\d{3} \d{4} \d{4}|\d{4} \d{4} \d{4}|[XYZ]-?\d{7}-?[A-Z]?|\d{8}-?[A-Z]|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]{1,2}\d{6,8}|[A-Z0-9]{9})"
-_ID = re.compile(rf"(?i:{_ID_WORD})(?P<id>{_ID_FORM})(?![\w-])")
+#: Words that only stand before identity numbers of persons, and the plain word, which machines have as well.
+_PERSON_ID = r"(?:passports?|reisepass|pasaporte|passeport|ssn|nino|dni|nie|nif|ausweis|ausweis-nr|personnummer|driving\s+licen[cs]e|identity\s+card|social\s+security|national\s+insurance|(?:national|tax|subject|citizen|personal|identity)\s+id)"
+_ANY_ID = r"ids?"
+_ID_LINK = r"(?:\s*(?:number|no|nr|card))?\s*[.:=#]*\s*[\"'(]?"
+_ID_FORM = r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|(?:19|20)?\d{6}[-+]\d{4}|\d{3} \d{4} \d{4}|\d{4} \d{4} \d{4}|[XYZ]-?\d{7}-?[A-Z]?|\d{8}-?[A-Z]|[A-Z]\d{2}[A-Z]\d{5}"
+_ID_WIDE = r"[A-Z]{1,2}\d{6,8}|[A-Z0-9]{9}"
+_ID = re.compile(rf"(?i:\b{_PERSON_ID}\b{_ID_LINK})(?P<id>{_ID_FORM}|{_ID_WIDE})(?![\w-])|(?i:\b{_ANY_ID}\b{_ID_LINK})(?P<plain>{_ID_FORM})(?![\w-])")
 #: Forms that are an identity number without a word before them.
 _ID_ALONE = re.compile(r"(?<![\w.:+/#-])(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] \d{2} \d{2} \d{2} [A-D]|(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4})(?![\w-])")
 _CAP = rf"[{_UPPER}][{_LOWER}{_UPPER}'’-]+"
@@ -175,8 +179,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     low = t.lower()
     if any(h in low for h in _ID_HINTS):
         for m in _ID.finditer(t):
-            if _digits(m["id"]) >= 6:
-                take(m.start("id"), m.end("id"), "id_number")
+            which = "id" if m["id"] else "plain"
+            if _digits(m[which]) >= 6:
+                take(m.start(which), m.end(which), "id_number")
     if _LONG_NUMBER.search(t):
         for m in _ID_ALONE.finditer(t):
             take(m.start(), m.end(), "id_number")
