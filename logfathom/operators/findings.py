@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ def firing_times(events: DataFrame, scope: list[str], event_type: str, us: str,
     return counted.where(met).groupBy(*scope, us).agg(*[F.max(n).alias(n) for n in sums])
 
 
-def pick_findings(times: DataFrame, scope: list[str], us: str, window_us: int, most: int = MOST) -> DataFrame:
+def pick_findings(times: DataFrame, scope: list[str], us: str, window_us: Column, most: int = MOST) -> DataFrame:
     """The earliest time of each scope, then the earliest after its window, and so on, ``most`` at most.
 
     Each round is one aggregation with map-side combine, so no list of candidates is gathered.
@@ -40,24 +40,25 @@ def pick_findings(times: DataFrame, scope: list[str], us: str, window_us: int, m
     return out
 
 
+def _by_rule(rules: tuple[Heuristic, ...], value) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for h in rules for x in (h.id, value(h))]), F.col("heuristic_id"))
+
+
 def findings(events: DataFrame, scope: list[str], event_type: str, us: str, rules: tuple[Heuristic, ...]) -> DataFrame:
     """(scope, heuristic_id, place, start_us, end_us, n_threshold, n_supports, confidence, severity) of all heuristics.
 
-    ``n_threshold`` counts threshold events in the window, ``n_supports`` the supporting types seen there; each of these adds 0.05 to the
-    heuristic's weight, 0.10 at most, up to 0.99.
+    ``n_threshold`` counts threshold events in the window, ``n_supports`` the supporting types seen there; each of these
+    adds 0.05 to the heuristic's weight, 0.10 at most, up to 0.99. All heuristics go through the rounds together.
     """
-    parts = []
-    for h in rules:
-        window = h.window_s * 1_000_000
-        found = pick_findings(firing_times(events, scope, event_type, us, h), scope, us, window)
-        f = found.select(*scope, F.col(us).alias("start_us"), (F.col(us) + window).alias("end_us"), "place")
-        kinds, supports = [k for k, _ in h.thresholds], list(h.supports)
-        near = events.where(F.col(event_type).isin(*kinds, *supports)).select(*scope, F.col(event_type).alias("__kind"), F.col(us).alias("__us"))
-        seen = f.join(near, scope, "left").where(F.col("__us").between(F.col("start_us"), F.col("end_us")))
-        counted = seen.groupBy(*scope, "start_us", "end_us", "place").agg(F.count_if(F.col("__kind").isin(*kinds)).alias("n_threshold"), F.count_distinct(F.when(F.col("__kind").isin(*supports), F.col("__kind"))).alias("n_supports") if supports else F.lit(0).cast("bigint").alias("n_supports"))
-        bonus = F.least(F.lit(0.10), F.col("n_supports") * 0.05)
-        parts.append(counted.select(*scope, F.lit(h.id).alias("heuristic_id"), "place", "start_us", "end_us", "n_threshold", "n_supports", F.round(F.least(F.lit(0.99), F.lit(h.weight) + bonus), 3).alias("confidence"), F.lit(h.severity).alias("severity")))
-    return reduce(DataFrame.unionByName, parts)
+    window = _by_rule(rules, lambda h: h.window_s * 1_000_000)
+    times = reduce(DataFrame.unionByName, [firing_times(events, scope, event_type, us, h).select(*scope, F.lit(h.id).alias("heuristic_id"), us) for h in rules])
+    found = pick_findings(times, [*scope, "heuristic_id"], us, window).select(*scope, "heuristic_id", "place", F.col(us).alias("start_us"), (F.col(us) + window).alias("end_us"))
+    kinds = events.sparkSession.createDataFrame([(h.id, k, True) for h in rules for k, _ in h.thresholds] + [(h.id, k, False) for h in rules for k in h.supports], "heuristic_id string, __kind string, __counts boolean")
+    near = events.select(*scope, F.col(event_type).alias("__kind"), F.col(us).alias("__us"))
+    seen = found.join(F.broadcast(kinds), "heuristic_id").join(near, [*scope, "__kind"]).where(F.col("__us").between(F.col("start_us"), F.col("end_us")))
+    counted = seen.groupBy(*scope, "heuristic_id", "place", "start_us", "end_us").agg(F.count_if("__counts").alias("n_threshold"), F.count_distinct(F.when(~F.col("__counts"), F.col("__kind"))).alias("n_supports"))
+    bonus = F.least(F.lit(0.10), F.col("n_supports") * 0.05)
+    return counted.withColumn("confidence", F.round(F.least(F.lit(0.99), _by_rule(rules, lambda h: h.weight) + bonus), 3)).withColumn("severity", _by_rule(rules, lambda h: h.severity))
 
 
 def evidence(found: DataFrame, events: DataFrame, scope: list[str], event_type: str, us: str, event_id: str, rules: tuple[Heuristic, ...]) -> DataFrame:

@@ -257,6 +257,16 @@ def test_findings_like_scan(spark):
     assert Counter((x["c"], x["start_us"], x["n_threshold"], x["confidence"]) for x in got) == want and want
 
 
+def test_timeline_keeps_what_matters(spark):
+    rows = [("s", "e1", 1, "noisy", "high"), ("s", "e2", 2, "noisy", "critical"), ("s", "e3", 3, "noisy", "low"), ("s", "e4", 4, "calm", "low"), ("s", "e5", 5, "calm", "low"), ("s", "e6", 11, "calm", "low"), ("s", "e7", 12, "calm", "low"), ("s", "e8", None, "calm", "low"), ("s", "e9", 13, "noisy", "low")]
+    events = spark.createDataFrame(rows, "c string, id string, us bigint, kind string, sev string")
+    clusters = spark.createDataFrame([("s", "noisy", "k1", 1)], "c string, event_type string, cluster_id string, start_us bigint")
+    refs = spark.createDataFrame([("s", "e9")], "c string, id string")
+    got = timeline.timeline(events, clusters, ["c"], "us", "kind", "sev", "id", ("noisy",), refs, 10, 40).orderBy("place")
+    assert [(r["kind"], r["id"]) for r in got.collect()] == [("cluster", "k1"), ("event", "e2"), ("event", "e4"), ("event", "e6"), ("event", "e9")]
+    assert [r["id"] for r in timeline.timeline(events, clusters, ["c"], "us", "kind", "sev", "id", (), refs, 10, 3).orderBy("place").collect()] == ["k1", "e1", "e2"]
+
+
 def test_windows_join_at_the_gap(spark):
     df = spark.createDataFrame([("a", 0), ("a", 120), ("a", 241), (None, 5), ("a", None)], "k string, us bigint")
     got = Counter((r["k"], r["us"], r["window"]) for r in incidents.with_windows(df, ["k"], "us", 120).collect())
