@@ -80,5 +80,18 @@ marked as (
 chained as (select *, sum(fresh) over (partition by source_relpath order by ts, line_number rows unbounded preceding) as chain from marked)
 select source_relpath, arg_min(event_id, (ts, line_number)) as first_event_id, arg_max(event_id, (ts, line_number)) as last_event_id, count(*) as n_events
 from chained group by source_relpath, chain having count(*) > 1
+""",
+    "p8_found": r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
+dg as (select doc_id, array_to_string(w[k : k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+ig as (select distinct item_id, array_to_string(w[k : k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i))
+select distinct doc_id, item_id from dg join ig using (g)
+""",
+    "p9_found": """
+with w as (select doc_id, k, md5(substr(text, k, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as k from documents where text is not null)),
+s as (select h from w group by h having min(doc_id) <> max(doc_id)),
+p as (select doc_id, k, lag(k) over (partition by doc_id order by k) as before from w where h in (select h from s))
+select doc_id, cast(sum(least(300, coalesce(k - before, 300))) as bigint) as shared_chars from p group by doc_id
 """,
 }
