@@ -58,15 +58,18 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (w - p)], x[w - p :]) if w > p else x
 
 
-def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
+def winnow(hashes: np.ndarray, w: int, inside: np.ndarray | None = None) -> np.ndarray:
     """Positions whose hash is the least of some window of ``w`` consecutive hashes.
 
     Two sequences that share ``w`` consecutive hashes share a chosen one, whatever stands around them. Fewer than ``w``
-    hashes give no position.
+    hashes give no position. ``inside`` tells for each window whether it counts, so that several sequences can be
+    winnowed at once without windows across their borders.
     """
     if len(hashes) < w:
         return np.empty(0, np.int64)
     least = _sliding(hashes, w, np.minimum)
+    if inside is not None:
+        least = np.where(inside, least, np.uint64(0))
     padded = np.zeros(len(least) + 2 * (w - 1), np.uint64)
     padded[w - 1 : w - 1 + len(least)] = least
     return np.flatnonzero(_sliding(padded, w, np.maximum) == hashes)

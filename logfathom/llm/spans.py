@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,50 @@ from .grams import prefix_hashes, window_hashes, winnow
 DEPTH, LEAST_BITS, MOST_BITS = 2, 18, 24
 #: Cells in one piece of a sketch on its way.
 PIECE = 1 << 16
+#: Characters that are hashed together; a longer text is a lot of its own.
+LOT = 200_000
 ANCHORS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("lft", pa.string()), ("rgt", pa.string())])
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+class Lot(NamedTuple):
+    """Texts that are hashed together, which spares most of the cost of short ones."""
+
+    keys: list[int]
+    texts: list[str]
+    starts: np.ndarray
+    symbols: np.ndarray
+    hashes: np.ndarray
+    chosen: np.ndarray
+    owner: np.ndarray
+
+
+def lots(rows: Iterable[tuple[int, str]], span: int, gram: int) -> Iterator[Lot]:
+    """Lots of texts of at least ``span`` characters with their chosen anchors and the text that each belongs to."""
+
+    def lot(keys: list[int], texts: list[str]) -> Lot:
+        symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        change = np.zeros(len(symbols) + 2, np.int8)
+        change[starts] += 1
+        change[starts + lengths - span + 1] -= 1
+        inside = np.cumsum(change[: len(symbols) - span + 1], dtype=np.int8) > 0
+        hashes = window_hashes(prefix_hashes(symbols), gram)
+        chosen = winnow(hashes, span - gram + 1, inside)
+        return Lot(keys, texts, starts, symbols, hashes, chosen, np.searchsorted(starts, chosen, "right") - 1)
+
+    keys, texts, size = [], [], 0
+    for key, text in rows:
+        if text is None or len(text) < span:
+            continue
+        keys.append(key)
+        texts.append(text)
+        size += len(text)
+        if size >= LOT:
+            yield lot(keys, texts)
+            keys, texts, size = [], [], 0
+    if texts:
+        yield lot(keys, texts)
 
 
 def cells(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -34,21 +74,21 @@ def cells(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 def sketch(batches: Iterable[pa.RecordBatch], span: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """The count-min sketch of one partition: in how many texts an anchor occurs, no higher than 2."""
+    """The count-min sketch of one partition: in how many texts an anchor occurs, no higher than 2.
+
+    A text counts once in each of its cells.
+    """
     total = np.zeros(DEPTH << bits, np.uint8)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text is None or len(text) < span:
-                continue
-            hashes = window_hashes(prefix_hashes(codes(text)), gram)
-            own = np.unique(hashes[winnow(hashes, span - gram + 1)])
-            for at in cells(own, bits):
-                # texts in turn, so that a cell's own sum needs no more than 0, 1, 2
-                at = np.unique(at)
-                total[at] += total[at] < 2
+        for lot in lots(((0, t) for t in batch.column(0).to_pylist()), span, gram):
+            for at in cells(lot.hashes[lot.chosen], bits):
+                of_text = np.unique(lot.owner * (DEPTH << bits) + at) % (DEPTH << bits)
+                hit, n = np.unique(of_text, return_counts=True)
+                total[hit] = np.minimum(total[hit] + n, 2)
     pieces = [k for k in range(0, len(total), PIECE) if total[k : k + PIECE].any()]
     if pieces:
-        yield pa.RecordBatch.from_arrays([pa.array([k // PIECE for k in pieces], pa.int32()), pa.array([zlib.crc32(total[k : k + PIECE].tobytes()) % 64 for k in pieces], pa.int32()), pa.array([zlib.compress(total[k : k + PIECE].tobytes(), 1) for k in pieces])], ["piece", "lot", "body"])
+        bodies = [total[k : k + PIECE].tobytes() for k in pieces]
+        yield pa.RecordBatch.from_arrays([pa.array([k // PIECE for k in pieces], pa.int32()), pa.array([zlib.crc32(b) % 64 for b in bodies], pa.int32()), pa.array([zlib.compress(b, 1) for b in bodies])], ["piece", "lot", "body"])
 
 
 def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -63,29 +103,22 @@ def anchors(batches: Iterable[pa.RecordBatch], span: int, gram: int, bits: int,
     side = span - gram
     total = np.frombuffer(seen.value, np.uint8)
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text is None or key is None or len(text) < span:
-                continue
-            symbols = codes(text)
-            hashes = window_hashes(prefix_hashes(symbols), gram)
-            at = winnow(hashes, side + 1)
-            own = hashes[at]
+        rows = ((k, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if k is not None)
+        for lot in lots(rows, span, gram):
+            own = lot.hashes[lot.chosen]
             repeated = np.ones(len(own), bool)
             for cell in cells(own, bits):
                 repeated &= total[cell] > 1
-            at = at[repeated]
-            if not len(at):
+            if not repeated.any():
                 continue
-            second = window_hashes(prefix_hashes(symbols, 1), gram, at, 1)
-            out[0].append(hashes[at].view(np.int64))
-            out[1].append(second.view(np.int64))
-            out[2].append(np.full(len(at), key, np.int64))
-            out[3].append(at)
-            out[4] += [text[max(0, p - side) : p] for p in at.tolist()]
-            out[5] += [text[p + gram : p + span] for p in at.tolist()]
-        if out[4]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out[:4]] + [pa.array(c, pa.string()) for c in out[4:]], schema=ANCHORS)
+            chosen, owner = lot.chosen[repeated], lot.owner[repeated]
+            second = window_hashes(prefix_hashes(lot.symbols, 1), gram, chosen, 1)
+            at = chosen - lot.starts[owner]
+            places = list(zip(owner.tolist(), at.tolist()))
+            arrays = [own[repeated].view(np.int64), second.view(np.int64), np.asarray(lot.keys, np.int64)[owner], at]
+            lft = [lot.texts[d][max(0, p - side) : p] for d, p in places]
+            rgt = [lot.texts[d][p + gram : p + span] for d, p in places]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(lft, pa.string()), pa.array(rgt, pa.string())], schema=ANCHORS)
 
 
 def shared_spans(documents: DataFrame, doc_id: Column, text: Column, span: int = 300, gram: int | None = None, bits: int | None = None) -> DataFrame:
