@@ -479,7 +479,11 @@ def q45_journal_samples(spark, folder):
     return journal.samples(rows, ["bundle_id", "kind"], "line_number", "event_id").select("bundle_id", "kind", "event_id", "suppressed")
 
 
-@query("select 'never_defined' as event_type union all select distinct event_type from (select unnest(['raft_election', 'memberlist_timeout']) as event_type) where false")
+_USED = ", ".join(f"('{k}')" for h in packs.HOST.heuristics for k in [*(k for k, _ in h.thresholds), *h.supports, "never_defined"])
+_DEFINED = ", ".join(f"('{x.event_type}')" for x in packs.HOST.signatures)
+
+
+@query(f"select distinct event_type from (values {_USED}) u(event_type) where event_type not in (select t from (values {_DEFINED}) d(t))")
 def q46_lint_cross_reference(spark, folder):
     defined = spark.createDataFrame([(s.event_type,) for s in packs.HOST.signatures], "event_type string")
     used = spark.createDataFrame([(k,) for h in packs.HOST.heuristics for k, _ in h.thresholds] + [(s,) for h in packs.HOST.heuristics for s in h.supports] + [("never_defined",)], "event_type string")

@@ -1,32 +1,59 @@
-"""Session helpers: tables, reliable checkpoints and size-checked broadcasts."""
+"""Session helpers: tables, tables that cut the lineage and size-checked broadcasts."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows a dimension may have to be sent to every executor.
 BROADCAST_ROWS = 200_000
+_folders: set[str] = set()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application in the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, a laptop) an own folder is used. What is in it is deleted when the driver ends.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "logfathom-checkpoints")
+    folder = f"{root.rstrip('/')}/logfathom-{sc.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may have ended before
+        plain = folder.removeprefix("file://").removeprefix("file:")
+        if "://" not in plain:
+            shutil.rmtree(plain, ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there afterwards.
+    """Write ``df`` once as a compressed table to the shared folder and read it from there afterwards.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) an own folder
-    is used. The files outlive executors, so a lost executor costs no more than its running tasks.
+    The files outlive executors, so a lost executor costs no more than its running tasks; they are columns, so later
+    steps read what they need, and their size is known to the planner.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "logfathom-checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
