@@ -93,6 +93,33 @@ def readings(text: str) -> Iterator[Reading]:
         yield Reading(form, year, month, day, ((h * 60 + mi) * 60 + s) * SECOND + micro, (g.get("z") or "").upper(), None)
 
 
+_PLAIN = re.compile(r"(\d{4})([-/])(\d\d)\2(\d\d)[T ](\d\d):([0-5]\d):([0-5]\d)(?:[.,](\d+))?Z?", re.A).fullmatch
+_days: dict[tuple[str, str, str], int | None] = {}
+
+
+def plain_utc(text: str) -> int | None:
+    """The instant of the most frequent form, ``2024-03-05T09:59:59.5Z`` or the like, read as UTC; null for any other.
+
+    It is what ``readings`` and ``resolve`` give, at a fraction of the cost.
+    """
+    m = _PLAIN(text)
+    if m is None:
+        return None
+    y, _, mo, d, h, mi, s, f = m.groups()
+    key = (y, mo, d)
+    if key not in _days:
+        if len(_days) > 100_000:
+            _days.clear()
+        try:
+            _days[key] = (date(int(y), int(mo), int(d)).toordinal() - EPOCH) * DAY
+        except ValueError:
+            _days[key] = None
+    day = _days[key]
+    if day is None or h > "23":
+        return None
+    return day + ((int(h) * 60 + int(mi)) * 60 + int(s)) * SECOND + (int(f.ljust(6, "0")[:6]) if f else 0)
+
+
 class Zone:
     """Offsets of one zone in microseconds, remembered by quarter hour: no zone changes within one."""
 

@@ -301,3 +301,10 @@ def test_zone_instants():
     z = times.zone("Europe/Berlin")
     assert z.instants(1_711_852_200_000_000)[0] == []  # 2024-03-31 02:30
     assert len(z.instants(1_729_996_200_000_000)[0]) == 2  # 2024-10-27 02:30
+
+
+def test_plain_times_agree_with_the_readings():
+    texts = ["2024-03-05T09:59:59.5Z", "2024/02/29 23:59:59,123456789", "2023-02-29 00:00:00", "2024-03-05T24:00:00Z", "2024-03-05T09:59:59", "2024-03/05 09:59:59", "x", "0000-01-01 00:00:00"]
+    for t in texts:
+        r = next(times.readings(t), None)
+        assert times.plain_utc(t) == (times.resolve(r, times.zone("UTC"), None).us if r else None), t
