@@ -14,6 +14,8 @@ from .frames import counts_ahead, slotted
 
 #: Findings of one heuristic in one scope.
 MOST = 5
+#: Rows of evidence of a finding from which no supporting events are added.
+ROWS = 12
 
 
 def firing_times(events: DataFrame, scope: list[str], event_type: str, us: str, h: Heuristic) -> DataFrame:
@@ -62,14 +64,21 @@ def findings(events: DataFrame, scope: list[str], event_type: str, us: str, rule
 
 
 def evidence(found: DataFrame, events: DataFrame, scope: list[str], event_type: str, us: str, event_id: str, rules: tuple[Heuristic, ...]) -> DataFrame:
-    """First, middle and last event of each threshold type in each finding."""
-    pairs = found.sparkSession.createDataFrame([(h.id, k) for h in rules for k, _ in h.thresholds], "heuristic_id string, __kind string")
+    """First, middle and last event of each threshold type in each finding, then first and last of each supporting type.
+
+    Supporting types follow in the order of the rule until the finding has ``ROWS`` rows; threshold types are never cut.
+    """
+    kinds = [(h.id, k, i, i >= len(h.thresholds)) for h in rules for i, k in enumerate([*(k for k, _ in h.thresholds), *dict.fromkeys(h.supports)])]
+    pairs = found.sparkSession.createDataFrame(kinds, "heuristic_id string, __kind string, __at int, __supports boolean")
     near = events.select(*scope, F.col(event_type).alias("__kind"), F.col(us).alias("us"), F.col(event_id).alias("event_id"))
     inside = found.join(F.broadcast(pairs), "heuristic_id").join(near, [*scope, "__kind"]).where(F.col("us").between(F.col("start_us"), F.col("end_us")))
-    w = W.partitionBy(*scope, "heuristic_id", "place", "__kind")
+    w = W.partitionBy(*scope, "heuristic_id", "place", "__at")
     numbered = inside.withColumn("rn", F.row_number().over(w.orderBy("us", "event_id"))).withColumn("of", F.count("*").over(w))
     middle = F.expr("of div 2") + 1
-    return numbered.where((F.col("rn") == 1) | (F.col("rn") == middle) | (F.col("rn") == F.col("of"))).select(*scope, "heuristic_id", "place", F.col("__kind").alias("event_type"), "event_id", "us")
+    sampled = numbered.where((F.col("rn") == 1) | (~F.col("__supports") & (F.col("rn") == middle)) | (F.col("rn") == F.col("of")))
+    row = F.row_number().over(W.partitionBy(*scope, "heuristic_id", "place").orderBy("__at", "rn"))
+    kept = sampled.withColumn("row", row).where(~F.col("__supports") | (F.col("row") <= ROWS))
+    return kept.select(*scope, "heuristic_id", "place", F.col("__kind").alias("event_type"), "event_id", "us")
 
 
 def compound_times(events: DataFrame, scope: list[str], event_type: str, us: str, rule: Compound) -> DataFrame:
