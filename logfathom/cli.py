@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
             levels = tuple(allowed([int(x) for x in a.level.split(",")]))
             print(pipelines.triage(spark, root, a.out, (*levels, "info") if len(levels) == 4 else levels, overwrite=a.overwrite, max_events=a.max_events))
         elif a.command == "incidents":
-            print(markdown.incidents_report(a.path, pipelines.store_incidents(spark, a.path, a.out, [int(x) for x in a.level.split(",")], overwrite=a.overwrite).orderBy("source_relpath", "window").limit(200).collect()))
+            print(markdown.incidents_report(a.path, pipelines.store_incidents(spark, a.path, a.out, [int(x) for x in a.level.split(",")], overwrite=a.overwrite).orderBy("source_relpath", "window").collect()))
         elif a.command == "scan":
             patterns = loader.load_patterns(a.patterns, packs.PATTERNS) if a.patterns else packs.PATTERNS
             print(markdown.pattern_report(pipelines.scan_patterns(spark, a.path, tuple(map(lint.java_pattern, patterns)), a.date, a.date_window_days).collect()))
@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
             print("\n".join(tables.table_text([tuple(r) for r in pipelines.redact_tree(spark, a.path, a.out).orderBy("entity").collect()], ("class", "replacements"))))
         else:
             nodes = pipelines.node_inventory(spark, a.path)
-            print("\n".join(tables.table_text([tuple(r) for r in nodes.limit(10_000).collect()], tuple(nodes.columns))))
+            print("\n".join(tables.table_text([tuple(r) for r in nodes.collect()], tuple(nodes.columns))))
     except ArchiveError as e:
         print(e, file=sys.stderr)
         return EXTRACT

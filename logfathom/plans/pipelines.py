@@ -87,7 +87,7 @@ def store_incidents(spark: SparkSession, root: str, out: str, levels: list[int]
     Storms are found on the events of the time range whatever their severity; windows are cut after the level filter.
     """
     found = files.list_files(spark, root).where(F.substring_index("relpath", "/", -1) == "ucp-kv.log")
-    paths = [r["path"] for r in found.orderBy("relpath").limit(packs.MOST_FILES).toLocalIterator()]
+    paths = [r["path"] for r in found.orderBy("relpath").toLocalIterator()]
     if not paths:
         raise files.ScanError("NO_FILES_MATCHED")
     events = store_events(lines.read_lines(spark, paths, root))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+from logfathom import cli
 from logfathom.operators import findings
+from logfathom.plans import pipelines
+from logfathom.rules import packs
 from logfathom.rules.model import Heuristic
 
 
@@ -27,3 +30,18 @@ def test_evidence_of_thresholds_is_never_cut(spark):
     found = spark.createDataFrame([("c", "h", 1, 0, 100)], "c string, heuristic_id string, place int, start_us bigint, end_us bigint")
     got = findings.evidence(found, events, ["c"], "kind", "us", "id", (h,)).collect()
     assert len(got) == 15 and "s" not in {r["event_type"] for r in got}
+
+
+def test_all_store_logs_are_read(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(packs, "MOST_FILES", 1)
+    for host in ("n1", "n2", "n3"):
+        log = tmp_path / "in" / host / "ucp-kv.log"
+        log.parent.mkdir(parents=True)
+        minutes = range(0, 300, 3) if host == "n3" else range(0, 180, 3)
+        log.write_text("\n".join(f'{{"ts":"2024-03-05T{m // 60:02}:{m % 60:02}:00Z","msg":"slow fdatasync","took":"2.5s","expected-duration":"100ms"}}' for m in minutes), encoding="utf-8")
+    found = pipelines.store_incidents(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    want = {"n1/ucp-kv.log": 60, "n2/ucp-kv.log": 60, "n3/ucp-kv.log": 100}
+    assert {r["source_relpath"]: r["count"] for r in found.groupBy("source_relpath").count().collect()} == want
+    monkeypatch.setattr(cli.SparkSession.builder, "getOrCreate", lambda: spark)
+    assert cli.main(["incidents", str(tmp_path / "in"), "--out", str(tmp_path / "again")]) == 0
+    assert capsys.readouterr().out.count("ucp-kv.log") == 220
