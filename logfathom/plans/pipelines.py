@@ -37,6 +37,14 @@ def timed_lines(rows: DataFrame, line: str = "line", latest_us: int | None = Non
     return rows.withColumn("ts_raw", written).withColumn("us", instant(F.col("ts_raw")))
 
 
+def top_targets(events: DataFrame, most: int = 3) -> DataFrame:
+    """(event_type, top_targets): the most frequent ``peer:port`` of each type, of equal counts by text; a missing part is empty."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    named = events.withColumn("target", F.concat(part("peer"), F.lit(":"), part("port"))).where("target <> ':'").withColumn("cluster_start", F.lit(0))
+    top = bursts.top_values(named, ["event_type"], "target", most)
+    return top.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]), ", ").alias("top_targets"))
+
+
 def triage(spark: SparkSession, root: str, out: str, severities: tuple[str, ...] = ("critical", "high", "medium", "info"), latest_us: int | None = None, overwrite: bool = False, max_events: int | None = None) -> dict:
     """Events, clusters, findings and a report of a host bundle; returns the ledger."""
     began = time.time()
@@ -59,7 +67,7 @@ def triage(spark: SparkSession, root: str, out: str, severities: tuple[str, ...]
         tables.write_jsonl(found.drop("scope"), f"{out}/findings", "findings", overwrite)
         refs = findings.evidence(found, events, ["scope"], "event_type", "us", "event_id", packs.HOST.heuristics)
         shown = timeline.timeline(events, clusters, ["scope"], "us", "event_type", "severity", "event_id", packs.HOST.chatty, refs, 60_000_000, markdown.TIMELINE)
-        types = events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.array_join(F.slice(F.sort_array(F.collect_set(F.concat_ws(":", "peer", "port"))), 1, 3), ", ").alias("top_targets"))
+        types = events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).join(top_targets(events), "event_type", "left")
         text = markdown.triage_report(Path(root).name, types.orderBy(F.desc("n"), "event_type").limit(markdown.TYPES).collect(), clusters.orderBy("start_us", *KEYS).limit(markdown.CLUSTERS).collect(), found.orderBy("start_us", "heuristic_id").limit(markdown.FINDINGS).collect(), shown.orderBy("place").collect())
         Path(out, "report.md").write_text(text, encoding="utf-8")
         ledger["events"] = events.count()

@@ -45,3 +45,20 @@ def test_all_store_logs_are_read(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(cli.SparkSession.builder, "getOrCreate", lambda: spark)
     assert cli.main(["incidents", str(tmp_path / "in"), "--out", str(tmp_path / "again")]) == 0
     assert capsys.readouterr().out.count("ucp-kv.log") == 220
+
+
+def test_report_has_the_most_frequent_targets(spark, tmp_path):
+    logs = tmp_path / "host/var/log"
+    logs.mkdir(parents=True)
+    peers = [1, 2, 3, 4, 9, 9, 9, 8, 8]
+    rows = [f'time="2024-03-05T10:00:{k:02}Z" msg="dial tcp 10.0.0.{p}:2377: connection refused"' for k, p in enumerate(peers)]
+    (logs / "docker.log").write_text("\n".join(rows) + "\n", encoding="utf-8")
+    out = tmp_path / "out"
+    out.mkdir()
+    pipelines.triage(spark, str(tmp_path / "host"), str(out))
+    assert "10.0.0.9:2377, 10.0.0.8:2377, 10.0.0.1:2377" in (out / "report.md").read_text(encoding="utf-8")
+
+
+def test_targets_without_peer_or_port(spark):
+    events = spark.createDataFrame([("a", None, None), ("a", "p", None), ("a", None, "1"), ("a", None, "1"), ("b", None, None)], "event_type string, peer string, port string")
+    assert [tuple(r) for r in pipelines.top_targets(events).collect()] == [("a", ":1, p:")]
