@@ -30,13 +30,13 @@ class ScanError(Exception):
 def discover(files: DataFrame, include: tuple[str, ...] = packs.INCLUDE, exclude: tuple[str, ...] = packs.EXCLUDE, most_file_bytes: int = packs.MOST_FILE_BYTES, most_bytes: int = packs.MOST_BYTES, most_files: int = packs.MOST_FILES) -> tuple[list[str], dict[str, int]]:
     """The paths to read, in the order (glob, relpath), within the limits, and what became of the others.
 
-    A file that would go over the total is skipped while later smaller ones may still fit, so the choice is sequential. It runs over a
-    listing on the driver, cut after ``most_files`` times two rows at most, as the limits are a feature of a single bundle.
+    A file that would go over the total is skipped while later smaller ones may still fit, so the choice is sequential. It runs over the
+    listing on the driver, row by row, until ``most_files`` are chosen.
     """
     found = filters.discover(files.where(F.col("size") <= most_file_bytes), F.col("relpath"), include, exclude)
     stats = {r["outcome"]: r["n"] for r in filters.discovery_statistics(files, F.col("relpath"), "size", include, exclude, most_file_bytes).collect()}
     chosen, total, over = [], 0, 0
-    for row in found.orderBy("glob", "relpath").select("path", "size").limit(2 * most_files).toLocalIterator():
+    for row in found.orderBy("glob", "relpath").select("path", "size").toLocalIterator():
         if len(chosen) >= most_files:
             break
         if total + row["size"] > most_bytes:

@@ -9,6 +9,7 @@ from logfathom.operators import findings
 from logfathom.plans import pipelines
 from logfathom.rules import packs
 from logfathom.rules.model import Heuristic
+from logfathom.sources import files
 
 
 def test_evidence_of_supporting_types(spark):
@@ -62,3 +63,10 @@ def test_report_has_the_most_frequent_targets(spark, tmp_path):
 def test_targets_without_peer_or_port(spark):
     events = spark.createDataFrame([("a", None, None), ("a", "p", None), ("a", None, "1"), ("a", None, "1"), ("b", None, None)], "event_type string, peer string, port string")
     assert [tuple(r) for r in pipelines.top_targets(events).collect()] == [("a", ":1, p:")]
+
+
+def test_small_files_after_many_too_large_ones(spark):
+    rows = [(f"/b/var/log/messages{k}", f"var/log/messages{k}", 90 if k < 5 else 20) for k in range(7)]
+    listed = spark.createDataFrame(rows, "path string, relpath string, size bigint")
+    chosen, stats = files.discover(listed, include=("var/log/*",), exclude=(), most_file_bytes=100, most_bytes=110, most_files=2)
+    assert chosen == ["/b/var/log/messages0", "/b/var/log/messages5"] and stats["over_total"] == 4
