@@ -85,6 +85,6 @@ def collapse_runs(events: DataFrame, entity: Column, fields: list[Column], event
         goes_on &= F.col("a") - F.lag("z").over(w) <= max_gap_us
     chained = partial.withColumn("fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("chain", F.sum("fresh").over(w))
     whole = chained.groupBy("entity", "part", "chain").agg(
-        F.min_by("first_id", F.struct("a", "line", "first_id")).alias("first_event_id"), F.max_by("last_id", F.struct("z", "n", "last_id")).alias("last_event_id"), F.sum("n").alias("n_events"), F.min("a").alias("first_us"), F.max("z").alias("last_us")
+        F.min_by("first_id", F.struct("a", "line", "first_id")).alias("first_event_id"), F.max_by("last_id", F.struct("a", "line", "first_id", "z")).alias("last_event_id"), F.sum("n").alias("n_events"), F.min("a").alias("first_us"), F.max("z").alias("last_us")
     )
     return whole.where(F.col("n_events") >= min_events).drop("part", "chain")

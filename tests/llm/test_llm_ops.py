@@ -113,6 +113,20 @@ def test_one_run_over_all_partitions(spark):
     assert collapse(spark, rows) == Counter({("f", "e00000", "e04999", 5000): 1})
 
 
+@pytest.mark.parametrize("parts", [3, 8])
+def test_one_run_with_tied_times_at_the_cuts(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for step in (400, 130, 1000):
+            rows = [("f", "x", f"e{(k * 7919) % 1000:04}", k // step, k) for k in range(1000)]
+            assert collapse(spark, rows) == run_model(rows) == Counter({("f", "e0000", f"e{(999 * 7919) % 1000:04}", 1000): 1})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_near_identical_events_keep_their_anchor(spark):
     df = spark.createDataFrame([("f", "x", 1, "a", 1), ("f", "x", 2, "b", 2), ("f", "y", 2, "c", 3)], "e string, k string, p int, id string, us bigint")
     out = runs.collapse_runs(df, F.col("e"), [F.col("k"), F.col("p")], F.col("id"), F.col("us"), F.lit(0), min_similarity=0.5)
