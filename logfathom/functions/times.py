@@ -42,8 +42,7 @@ FORMATS = [
     )
 ]
 _WRAPPED = re.compile(r'(?:\w+=)?(?:"([^"]*)"|\[([^\]\[]*)\]|(.*))', re.S)
-#: No written time is longer.
-LONGEST = 100
+_BLANKS = re.compile(r"\s{100,}")
 
 
 class Reading(NamedTuple):
@@ -65,8 +64,8 @@ class Times(NamedTuple):
 
 def readings(text: str) -> Iterator[Reading]:
     """Every reading that the form of the text and the calendar allow, in the order of ``FORMATS``."""
-    if len(text) > LONGEST:
-        return
+    if len(text) > 100:  # long runs of blanks would be tried in many ways
+        text = _BLANKS.sub(" " * 100, text)
     wrapped = _WRAPPED.fullmatch(text.strip())
     inner = wrapped and next(g for g in wrapped.groups() if g is not None).strip()
     if not inner:
@@ -76,7 +75,7 @@ def readings(text: str) -> Iterator[Reading]:
         if m is None:
             continue
         g = m.groupdict()
-        micro = int((g.get("f") or "0").ljust(6, "0")[:6])
+        micro = int((g.get("f") or "0")[:6].ljust(6, "0"))
         if "epoch" in g:
             yield Reading(form, None, 0, 0, 0, "", int(g["epoch"]) * SECOND + micro)
             continue

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most rows a dimension may have to be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Most bytes of it.
+BROADCAST_BYTES = 64_000_000
 _folders: set[str] = set()
 
 
@@ -23,10 +25,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of this application in the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) an own folder is used. What is in it is deleted when the driver ends.
+    Only a local session may leave that unset; it gets an own folder. On a cluster there is no folder that all
+    executors are known to see, so it is an error. What is in the folder is deleted when the driver ends.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "logfathom-checkpoints")
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "logfathom-checkpoints")
     folder = f"{root.rstrip('/')}/logfathom-{sc.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
@@ -56,6 +63,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows, else unchanged (shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows of ``size`` bytes in all, else unchanged (shuffled join).
+
+    Bytes are those of the rows written as JSON. No more than ``rows`` + 1 rows are counted.
+    """
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    held = df.limit(rows + 1).select(F.octet_length(text).cast("bigint").alias("n")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if held["rows"] <= rows and held["size"] <= size else df

@@ -183,7 +183,7 @@ def test_long_entry_over_partitions(spark):
 def test_entries_with_joined_templates(spark, monkeypatch):
     rows = [("f", k, f"2024-03-05 09:59:{k:02},000 INFO x.{k % 3} - took {k}") for k in range(40)] + [("f", 40, "more")]
     want = entries(spark, rows)
-    monkeypatch.setattr(loglines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(loglines, "PLANS", 0)
     assert entries(spark, rows) == want and len(want) == 40 and want[("f", 39)][0] == 2
 
 
@@ -192,11 +192,46 @@ def test_entries_of_nothing(spark):
     assert entries(spark, [("f", 1, "x")]) == {}
 
 
+def leaved(spark, lines):
+    masks = spark.createDataFrame([(k, m, 1) for k, m in enumerate(dict.fromkeys(map(loglex.mask, lines)))], "pattern bigint, mask string, n bigint")
+    return loglines.leaves(masks.mapInArrow(loglines.in_slots, loglines.SLOTS_DDL))
+
+
 def test_templates_keep_constants_and_slots(spark):
-    rows = [(k, loglex.lex(f"2024-03-05 09:59:59,000 INFO x{k % 3} - took {k} ms")) for k in range(6)]
-    df = spark.createDataFrame([(k, x.tokens, x.kinds, 1) for k, x in rows], "pattern bigint, tokens array<string>, kinds array<string>, n bigint")
-    got = {tuple(r["template"]): tuple(r["layouts"]) for r in loglines.templates(df).collect()}
-    assert got == {("<time>", "INFO", "<*>", "-", "took", "<*>", "ms"): ("dash", "tabs")}
+    df = leaved(spark, [f"2024-03-05 09:59:59,000 INFO x.{a} - took {b} ms {c}" for a in "abcd" for b in "efgh" for c in "pq"])
+    assert sorted(r["template"] for r in loglines.templates(df).collect()) == [["\x01", "INFO", "<*>", "-", "took", "<*>", "ms", c] for c in "pq"]
+
+
+def test_headers_that_no_list_names(spark):
+    cases = [
+        ("2024-03-05T09:59:59Z [main] ERROR c.x.Y - hi", ("error", "c.x.Y", "hi")),
+        ('1.2.3.4 - - [05/Mar/2024:10:59:59 +0100] "GET /" 200', ("none", "none", '"GET /" 200')),
+        ("2024-03-05 09:59:59.000  WARN 1 --- [main] c.x.Y : hi", ("warning", "c.x.Y", "hi")),
+        ("2024-03-05 09:59:59,000 - a.b - INFO - m - n", ("info", "a.b", "m - n")),
+        ("2024-03-05 09:59:59.000 | INFO     | app.mod:go:12 - hello", ("info", "app.mod:go:12", "hello")),
+        ("Tue Mar  5 09:59:59 2024 [notice] 12#12: *3 m", ("info", "none", "m")),
+        ("web_1  | 2024-03-05 09:59:59 CRITICAL down", ("critical", "none", "down")),
+        ("2024-03-05 09:59:59 w1 x2 x3 x4 x5 x6 x7", ("none", "none", "w1 x2 x3 x4 x5 x6 x7")),
+        ("10.0.0.1 7 [a] [b] [c] 2024-03-05 09:59:59 DEBUG [cron] m", ("debug", "cron", "m")),
+    ]
+    got = entries(spark, [(f"f{k}", 1, line) for k, (line, _) in enumerate(cases)])
+    assert got == {(f"f{k}", 1): (1, T0, *want) for k, (_, want) in enumerate(cases)}
+
+
+def test_templates_decide_what_a_word_is(spark):
+    """A level word at the start of a message is a level only if the templates of the shape have levels there."""
+    first = lambda rows: entries(spark, rows)[("f", 1)][2:]
+    line = "2024-03-05 09:59:59 error reading block"
+    assert first([("f", 1, line)]) == ("error", "none", "reading block")
+    others = [("f", k, f"2024-03-05 09:59:59 {w} reading block") for k, w in enumerate(("new", "slow", "late"), 2)]
+    assert first([("f", 1, line), *others]) == ("none", "none", "error reading block")
+    levels = [("f", k, f"2024-03-05 09:59:59 {w} reading block") for k, w in enumerate(("INFO", "WARN", "debug"), 5)]
+    assert first([("f", 1, line), *others, *levels])[0] == "error"
+
+
+def test_words_before_a_time_begin_no_entry(spark):
+    rows = [("f", 1, "2024-03-05 09:59:59 INFO x: m"), ("f", 2, "-- Logs begin at Sat 2024-01-06 00:36:25 UTC. --"), ("f", 3, "see 2024-01-06 00:36:25"), ("f", 4, '{"a": "2024-01-06 00:36:25"}'), ("f", 5, "a=1 b=2")]
+    assert [v[0] for v in entries(spark, rows).values()] == [5]
 
 
 # storms, windows, bursts, findings
