@@ -55,11 +55,12 @@ class Normal:
                 stop += [k + 1] * len(d)
             self.text, self.start, self.stop = "".join(chars), start, stop
         low = self.text.lower()
-        if "at" in low or "dot" in low:
+        if any(c in low for c in "[({<"):
             self._replace([(m.start(), m.end(), "@") for m in _AT.finditer(self.text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(self.text)])
+        if "dot" in low:
             for m in [*_SPOKEN.finditer(self.text)][::-1]:
                 self._replace([(m.start("at"), m.end("at"), "@")] + [(d.start() + m.end("at"), d.end() + m.end("at"), ".") for d in _SPOKEN_DOT.finditer(m[0][m.end("at") - m.start() :])])
-        if any(w in low for w in ("zero", "one", "two", "five", "nine")) and _SPELLED.search(self.text):
+        if any(w in low for w in DIGITS) and _SPELLED.search(self.text):
             self._replace([(m.start(), m.end(), "".join(DIGITS[d.lower()] for d in _SPELLED_ONE.findall(m[0]))) for m in _SPELLED.finditer(self.text)])
 
     @staticmethod
@@ -88,7 +89,9 @@ class Normal:
         self.text, self.start, self.stop = "".join(chars), start + [*self.start[at:]], stop + [*self.stop[at:]]
 
 
-_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞŁŚŠŽČĆĐŐŰĞİ", "a-zß-öø-ÿłśšžčćđőűğıńęąźżřěůťďňľĺŕ"
+#: Letters of names in the Latin, Cyrillic and Greek scripts, and characters of Chinese, Japanese and Korean ones.
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞŁŚŠŽČĆĐŐŰĞİĄĘŃŹŻŘĚŮŤĎŇĽĹŔА-ЯЁІЇЄҐΑ-Ω", "a-zß-öø-ÿłśšžčćđőűğıńęąźżřěůťďňľĺŕа-яёіїєґα-ωάέήίόύώ"
+_HAN = "\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7a3"
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w](?:[\w.+%'-]*[\w])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@-])")
 #: Ends of unit names of the service manager, which have the form of an address.
 _UNITS = frozenset("service socket target timer mount automount slice scope device path swap".split())
@@ -99,8 +102,9 @@ _PHONE = re.compile(
     | 00\ ?\d{{1,3}}(?:[\ .\-/]\d{{1,4}}){{2,7}}
     | 00[1-9]\d{{8,12}}
     | \(\d{{2,4}}\)\ ?\d{{3,4}}[-.\ ]\d{{3,4}}
+    | 0[1-9]\d{{1,3}}[\ /]\d{{6,8}}
     )(?![\w-])"""
-    rf"""| (?:\b{_PHONE_WORD}[.:=]?\s*(?:me\s+on\s+|at\s+|on\s+|to\s+|is\s+)?["']?|[{_LOWER}{_UPPER}.]\s/\s)(?P<local>\(?\d{{3}}\)?[-.\ ]\d{{4}}|\d{{3}}[-.\ ]\d{{3}}[-.\ ]\d{{4}}|0\d{{1,4}}[-/\ ]\d{{3,8}}|\d{{7,11}})(?![\w-])""",
+    rf"""| (?:\b{_PHONE_WORD}[.:=]*\s*(?:me\s+on\s+|at\s+|on\s+|to\s+|is\s+)?["']?|[{_LOWER}{_UPPER}.]\s/\s)(?P<local>\(?\d{{3}}\)?[-.\ ]\d{{4}}|\d{{3}}[-.\ ]\d{{3}}[-.\ ]\d{{4}}|0\d{{1,4}}[-/\ ]\d{{3,8}}|\d{{7,11}})(?![\w-])""",
     re.X | re.I,
 )
 #: Words that only stand before identity numbers of persons, and the plain word, which machines have as well.
@@ -113,8 +117,9 @@ _ID = re.compile(rf"(?i:\b{_PERSON_ID}\b{_ID_LINK})(?P<id>{_ID_FORM}|{_ID_WIDE})
 #: Forms that are an identity number without a word before them.
 _ID_ALONE = re.compile(r"(?<![\w.:+/#-])(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] \d{2} \d{2} \d{2} [A-D]|(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4})(?![\w-])")
 _CAP = rf"[{_UPPER}][{_LOWER}{_UPPER}'’-]+"
-#: Words of technology that are written like names but never are.
+#: Words of technology that are written like names. A surname is none of them, nor does it end in a role of software.
 _TECH = "Docker|Engine|Node|Manager|Leader|Election|Raft|Core|Build|Agent|Container|Application|Lane|Service|Cluster|Swarm|Kernel|Server|Worker|Registry|Network|Storage|System|Started|Stopping|Stopped|Failed|Error|Warning|Suspect|Push|Pull|Out|Found|Process|Killed|GECOS|Tel|Mr|Mrs|Ms|Dr|Ausweis"
+_SOFTWARE = rf"(?:{_TECH})\b|[{_UPPER}][{_LOWER}]*(?:manager|server|service|daemon|exporter|proxy|controller|agent|engine|cluster|registry|scheduler|gateway|operator|runner)\b"
 _PLACE_WORD = rf"(?!(?:{_TECH})\b)[{_UPPER}][{_LOWER}{_UPPER}'’-]+(?![\w=])"
 _PLACE = rf"{_PLACE_WORD}(?: (?:(?:am|an der|sur|de|del|la|upon|on|im|ob der) )?{_PLACE_WORD}){{0,2}}"
 _CODE = r"(?:[A-Z]{1,2}-)?\d{4,6}(?:-\d{4})?(?![\w-])|[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}\b"
@@ -128,31 +133,51 @@ _ADDRESS = re.compile(
     | {_UNIT.replace(" ", chr(92) + " ")}{_NUMBER}(?:\ (?:bis|ter))?,?\ (?:rue|avenue|av\.|boulevard|bd|place|quai|chemin|allée|impasse|route)\ (?:(?:de\ la|de\ l'|de|du|des|d')\ ?)?{_CAP}(?:[\ -]{_CAP}){{0,2}}
     | {_UNIT.replace(" ", chr(92) + " ")}(?:Calle|Avenida|Plaza|Paseo|Camino|Ronda|Travesía|Via|Viale|Piazza|Corso|Rua|Praça)\ (?:(?:del|de\ la|de\ los|de\ las|de|do|da|dei|della)\ )?{_CAP}(?:\ {_CAP})?,?\ {_NUMBER}
     | {_UNIT.replace(" ", chr(92) + " ")}(?:(?:Am|An\ der|Auf\ dem|Im|In\ der|Zum|Zur|Unter\ den)\ (?:{_CAP}\ ){{1,2}}|(?:{_CAP}[\ -])?[{_UPPER}][{_LOWER}]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|gracht|straat|laan|gatan|vägen|vej|gade)\ |(?:{_CAP}[\ -])(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Ufer|Damm)\ ){_NUMBER}
+    | {_UNIT.replace(" ", chr(92) + " ")}(?:ул|улица|пр|просп|проспект|пер|переулок|пл|площадь|наб|набережная|бульвар|шоссе)\.?\ {_CAP}(?:\ {_CAP})?,?\ (?:д\.?\ ?)?{_NUMBER}
     ){_TAIL.replace(" ", chr(92) + " ")}""",
     re.X,
 )
 _W = rf"(?:(?:[OD]['’]|Mc|Mac|Fitz)?[{_UPPER}](?:[{_LOWER}]+|[{_UPPER}'’]+)(?:-[{_UPPER}](?:[{_LOWER}]+|[{_UPPER}]+))*)"
 _I = rf"[{_UPPER}]\."
 _P = r"(?:(?:van der|van den|van de|van|von der|von und zu|von|zu|de la|de los|de|del|della|di|da|dos|das|do|du|le|la|el|al|bin|ibn|ter|ten|VAN DER|VAN DEN|VAN DE|VAN|VON DER|VON|DE LA|DE|DEL|DI|DA|DU) )"
-_NAME = rf"(?!(?:{_TECH})\b)(?:(?:{_W}|{_I})(?: (?:{_I}|{_W}(?= {_W},? (?:said|asked|passport))))? {_P}?(?!(?:{_TECH})\b){_W}|{_P}?{_W}, (?:{_W}|{_I})(?: {_I})?)(?![\w@=-])"
-#: What stands before a person's name: roles, titles and labels in the languages of the texts.
-_BEFORE = (
-    r"""(?:(?i:\b(?:acknowledged|opened|closed|reported|approved|signed|submitted|requested|authored|written|created|assigned|confirmed|handled)[\ -]by:?\s|\breported-by:\s|\bassigned\ to\ |\b(?:handed|taken)\ over\ (?:from|by)\ |\bon\ behalf\ of\ |\bescalated\ to\ """
-    r"""|\bR(?:ü|ue)ckfragen\ an\ |\bAnsprechpartner(?:in)?:?\ |\b(?:site\ |emergency\ |primary\ )?contact:?\ |\bcontacto:?\s|\bcontact[ée]:?\s|\brequester:?\ |\bon-call:?\ |\boperator:?\ |\bengineer:?\ |\bcustomer:?\ |\bowner:?\ |\bcaller:?\ |\bassignee:?\ |\btechnician:?\ |\bper\ |\battn:?\ |\bc/o\ """
-    r"""|\b(?:GECOS|maintainer|user\.?name|full_?name|display_?name|owner|author|name|contact|comment)=["']?|\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Hr|Fr|Sr|Sra)\.\ |\b(?:Herr|Frau|Señor|Señora|Monsieur|Madame|Mme)\ )|(?<=\()(?=[^()]{3,60}\)))"""
-)
-_NAMED = re.compile(rf"{_BEFORE.replace(chr(92) + ' ', ' ')}(?P<name>{_NAME})(?: to (?P<other>{_NAME}))?")
+_NAME = rf"(?:(?:{_W}|{_I})(?: (?:{_I}|{_W}(?= {_W},? (?:said|asked|passport))))? {_P}?(?!{_SOFTWARE}){_W}|{_P}?(?!{_SOFTWARE}){_W}, (?:{_W}|{_I})(?: {_I})?)(?![\w@=-])"
+#: Names in scripts without capitals; they only count after a lead.
+_PLAIN_NAME = rf"[{_HAN}]{{2,4}}(?:[ ·][{_HAN}]{{1,4}})?(?![{_HAN}\w])"
+# What stands before a person's name in the languages of the texts: what was done by them, plain leads, labels that a colon may follow, fields and titles.
+_DONE = "acknowledged opened closed reported approved signed submitted requested authored written created assigned confirmed handled reviewed".split()
+_LEADS = ("assigned to", "handed over from", "handed over by", "taken over from", "taken over by", "on behalf of", "escalated to", "rückfragen an", "rueckfragen an", "per", "c/o", "please ask", "ask for")
+_LABELS = ("ansprechpartner", "ansprechpartnerin", "contact", "contacto", "contacté", "contacte", "requester", "on-call", "operator", "engineer", "customer", "owner", "caller", "assignee", "technician", "attn", "контакт", "联系人")
+_FIELDS = ("gecos", "maintainer", "username", "user.name", "full_name", "fullname", "display_name", "displayname", "owner", "author", "name", "contact", "comment")
+_TITLES = ("Mr.", "Mrs.", "Ms.", "Miss.", "Mx.", "Dr.", "Prof.", "Hr.", "Fr.", "Sr.", "Sra.", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme")
+_AFTER = (" said", " asked", " wrote", " reported", " called", " confirmed", " <", ", reach at", ", callback", ", tel.", ", phone", "passport")
+
+
+def _any_of(words: tuple[str, ...] | list[str]) -> str:
+    return "|".join(map(re.escape, words))
+
+
+_BEFORE = rf"(?:(?i:\b(?:{_any_of(_DONE)})[ -]by:?\s|\b(?:{_any_of(_LEADS)}) |\b(?:{_any_of(_LABELS)})[:：]?\s?(?<=[\s:：])|\b(?:{_any_of(_FIELDS)})=[\"']?)|\b(?:{_any_of(_TITLES)}) |(?<=\()(?=[^()]{{3,}}\)))"
+_NAMED = re.compile(rf"{_BEFORE}(?:(?P<name>{_NAME})(?: to (?P<other>{_NAME}))?|(?P<plain>{_PLAIN_NAME}))")
 _NAMED_AFTER = re.compile(rf"(?<![\w'’-])(?P<name>{_NAME})(?= (?:said|asked|wrote|reported|called|confirmed)\b| <[^<>@\s]+(?:@| ?[\[(]at)|, (?:reach at|callback|Tel\.|phone)|,? passport\b)")
-#: Plain pieces, in lower case, without one of which a detector finds nothing: looking for them is far cheaper.
-_ID_HINTS = (" id", "id ", "id:", "id=", "pass", "pasaporte", "reisepass", "ssn", "nino", "dni", "nie", "nif", "ausweis", "personnummer", "licen", "identity", "social", "insurance")
-_ROAD_HINTS = tuple(" street| st| road| rd| ave| lane| ln| close| court| ct| rise| drive| dr.| way| place| pl.| square| sq.| terrace| boulevard| blvd| crescent| gardens| hill| row| mews| walk| parade| quay|rue |av. |bd |quai |chemin |allée |impasse |route |calle |avenida |plaza |paseo |camino |ronda |travesía |via |viale |piazza |corso |rua |praça |am |an der |auf dem |im |in der |zum |zur |unter den |straße|strasse|str.|weg|gasse|platz|allee|ring|ufer|damm|gracht|straat|laan|gatan|vägen|vej|gade".split("|"))
-_NAME_HINTS = (
-    "ed by", "ed-by", "en by", "written by", "assigned to", "over from", "over by", "behalf of", "escalated to", "ckfragen an", "ansprechpartner", "contact", "requester", "on-call", "operator", "engineer", "customer", "owner", "caller", "assignee", "technician", "per ", "attn", "c/o ",
-    "gecos", "maintainer", "name=", "author", "comment=", "mr.", "mrs.", "ms.", "miss.", "mx.", "dr.", "prof.", "hr.", "fr.", "sr.", "sra.", "herr ", "frau ", "señor", "monsieur ", "madame ", "mme ", " said", " asked", " wrote", " reported", " called", " confirmed", ", reach", ", callback", ", tel", ", phone", "passport", " <",
-)
-_BRACKETED = re.compile(rf"\((?:[{_UPPER}]|d[aei]|v[ao]n|[tz])")
+#: Frequent given names in several languages. With a surname after it, such a name needs no lead.
+_GIVEN = frozenset(
+    """Aaron Adam Ahmed Aisha Alan Alexander Alice Amanda Amir Amy Ana Andrea Andreas Andrew Angela Anita Anna Anne Anton Antonio Arthur Barbara Ben Benjamin Bernd Brian Camille Carla Carlos Carmen Caroline
+    Catherine Charles Charlotte Chen Chiara Christian Christine Claire Clara Claudia Daniel David Deborah Diana Dmitri Edward Elena Elisabeth Elizabeth Emily Emma Eric Erik Eva Fatima Felix Fernando Florian Francesca
+    Francesco Frank Gabriel George Giulia Hannah Hans Heinrich Helen Henry Hiroshi Ingrid Irina Isabel Ivan Jack Jacob James Jan Jane Javier Jean Jennifer Jessica Johanna John Jonas Jonathan Jorge Jose Joseph Juan Julia
+    Karen Karl Katharina Kenji Kevin Klaus Laura Lena Linda Lisa Louis Luca Lucia Luis Maria Marie Mark Markus Martin Mary Matthew Matthias Michael Miguel Mohammed Monika Nadia Natalia Nicolas Nicole Nina Olga Oliver
+    Olivia Pablo Patricia Paul Pedro Peter Petra Philip Pierre Rachel Rahul Rebecca Richard Robert Roberto Rosa Samuel Sandra Sarah Sergei Simon Sofia Sophie Stefan Stephen Susan Thomas Ursula Victor Wei William Yuki""".split()
+)
+_CAPITAL = re.compile(rf"(?<![\w'’.-])([{_UPPER}][{_LOWER}]+)(?= )")
+_SURNAMED = re.compile(rf"(?:{_I} )?{_P}?(?!{_SOFTWARE}){_W}(?![\w@=-])")
+#: Plain pieces, in lower case, without one of which a detector finds nothing: looking for them is far cheaper. Each has a piece of every alternative of its detector.
+_ID_HINTS = ("id", "pass", "pasaporte", "ssn", "nino", "dni", "nie", "nif", "ausweis", "personnummer", "licen", "social", "insurance")
+_ROAD_HINTS = tuple(" street| st| road| rd| ave| lane| ln| close| court| ct| rise| drive| dr.| way| place| pl.| square| sq.| terrace| boulevard| blvd| crescent| gardens| hill| row| mews| walk| parade| quay|rue |av. |bd |quai |chemin |allée |impasse |route |calle |avenida |plaza |paseo |camino |ronda |travesía |via |viale |piazza |corso |rua |praça |am |an der |auf dem |im |in der |zum |zur |unter den |straße|strasse|str.|weg|gasse|platz|allee|ring|ufer|damm|gracht|straat|laan|gatan|vägen|vej|gade|ул|пр|пер|пл|наб|бульвар|шоссе".split("|"))
+_NAME_HINTS = tuple(sorted({w[-1] + sep + "by" for w in _DONE for sep in " -"} | {x + " " for x in _LEADS} | {*_LABELS} | {x.rpartition(".")[2].rpartition("_")[2] + "=" for x in _FIELDS} | {x.lower() + " " for x in _TITLES} | {*_AFTER}))
+_NAME_HINTS = tuple(h for h in _NAME_HINTS if not any(o != h and o in h for o in _NAME_HINTS))
+_BRACKETED = re.compile(rf"\((?:[{_UPPER}{_HAN}]|{_P})")
 _LONG_NUMBER = re.compile(r"\d{3}-\d\d-\d{4}|[A-Z]{2} \d\d \d\d ")
-_CALLABLE = re.compile(r"\+\d|\b00 ?\d|\(\d{2,4}\) ?\d|\d{3}[-. ]\d{4}|\d{3}[-. ]\d{3}[-. ]\d|\d{7}")
+#: A phone number has seven digits, with three signs between two of them at most.
+_CALLABLE = re.compile(r"\d(?:\D{0,3}\d){6}")
 
 
 def _digits(s: str) -> int:
@@ -193,14 +218,20 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             which = "local" if m["local"] else 0
             s = m[which]
             if 7 <= _digits(s) <= 15 and (m["local"] or _digits(s) >= (10 if s.startswith("00") else 8)):
-                take(m.start(which), m.start(which) + len(s.rstrip(" ./-(")), "phone")
+                s = s.rstrip(" ./-(")
+                if s.endswith(")") and s.count(")") > s.count("("):  # closes what the number stands in
+                    s = s[:-1]
+                take(m.start(which), m.start(which) + len(s), "phone")
     if _BRACKETED.search(t) or any(h in low for h in _NAME_HINTS):
         for m in _NAMED.finditer(t):
-            take(m.start("name"), m.end("name"), "name")
-            if m["other"]:
-                take(m.start("other"), m.end("other"), "name")
+            for part in ("name", "other", "plain"):
+                if m[part]:
+                    take(m.start(part), m.end(part), "name")
         for m in _NAMED_AFTER.finditer(t):
             take(m.start("name"), m.end("name"), "name")
+    for m in _CAPITAL.finditer(t):
+        if m[1] in _GIVEN and (rest := _SURNAMED.match(t, m.end() + 1)):
+            take(m.start(), rest.end(), "name")
     return sorted(found)
 
 

@@ -335,3 +335,53 @@ def test_personal_data_of_odd_rows(spark):
     assert Counter((k, tuple(f)) for k, f, _ in all_) == Counter({("1", (("message", "ann@corp.example"),)): 2, ("2", ()): 1, ("3", ()): 1, ("4", (("message", "ann@corp.example"),)): 1, (None, (("message", "+15550102094"), ("excerpt", "+15550102094"))): 1})
     assert {k: m for k, _, m in all_}["3"] == "" and {k: m for k, _, m in all_}["2"] is None
     assert pii.personal_data(df.limit(0), [F.col("k")], ["message"]).count() == 0
+
+
+# personal data beyond cue words, and checks before detectors
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("call three four six seven eight three four six", [("phone", "three four six seven eight three four six")]),
+        ("tel: 089/123456", [("phone", "089/123456")]),
+        ("tel 05 12345", [("phone", "05 12345")]),
+        ("0171 2345678", [("phone", "0171 2345678")]),
+        ("(operator Zoe Quux, callback +44 20 7946 0105)", [("name", "Zoe Quux"), ("phone", "+44 20 7946 0105")]),
+        ("id#X1234567A", [("id_number", "X1234567A")]),
+        ("Please ask Anna Schmidt about the outage", [("name", "Anna Schmidt")]),
+        ("Thanks, John Miller", [("name", "John Miller")]),
+        ("contact: Ольга Иванова", [("name", "Ольга Иванова")]),
+        ("assigned to 王伟", [("name", "王伟")]),
+        ("ул. Ленина 5, Москва", [("address", "ул. Ленина 5, Москва")]),
+        ("contact: Prometheus Alertmanager", []),
+        ("opened by: Leader Jones", [("name", "Leader Jones")]),
+        ("x@y [punkt] de", [("email", "x@y [punkt] de")]),
+    ],
+)
+def test_pieces_in_plain_sentences(text, want):
+    assert [(kind, text[a:z]) for a, z, kind in pii.spans(text)] == want
+
+
+DETECTORS = [
+    (pii._ID, lambda t, low: any(h in low for h in pii._ID_HINTS)),
+    (pii._ID_ALONE, lambda t, low: pii._LONG_NUMBER.search(t)),
+    (pii._ADDRESS, lambda t, low: any(h in low for h in pii._ROAD_HINTS)),
+    (pii._NAMED, lambda t, low: pii._BRACKETED.search(t) or any(h in low for h in pii._NAME_HINTS)),
+    (pii._NAMED_AFTER, lambda t, low: any(h in low for h in pii._NAME_HINTS)),
+]
+
+
+@pytest.mark.parametrize("k", range(len(DETECTORS)))
+@given(st.data())
+@settings(max_examples=150, deadline=None)
+def test_checks_let_through_all_that_detectors_find(k, data):
+    pattern, check = DETECTORS[k]
+    text = data.draw(st.from_regex(pattern))
+    assert not pattern.search(text) or check(text, text.lower())
+
+
+@given(st.from_regex(pii._PHONE))
+@settings(max_examples=150, deadline=None)
+def test_phones_pass_their_check(text):
+    m = pii._PHONE.search(text)
+    assert m is None or pii._digits(m["local"] or m[0]) < 7 or pii._CALLABLE.search(text)
