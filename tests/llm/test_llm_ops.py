@@ -185,10 +185,10 @@ def test_ids_of_odd_texts(spark, reference):
 
 # leaks
 
-def find_leaks(spark, docs, items, span=12, gram=8):
+def find_leaks(spark, docs, items, span=12, gram=8, **kw):
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item", F.lit("clash")).withColumn("print", F.lit(0))
     i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(5))
-    return Counter((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(d, F.col("doc_id"), F.col("text"), i, F.col("item_id"), F.col("text"), span, gram).collect())
+    return Counter((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(d, F.col("doc_id"), F.col("text"), i, F.col("item_id"), F.col("text"), span, gram, **kw).collect())
 
 
 def leak_model(docs, items, span):
@@ -203,6 +203,7 @@ def test_leaks_like_model(spark, seed):
     docs = [(k, text(r.randrange(40))) for k in range(60)] + [(3, None), (None, text(30)), (7, ""), (8, text(20))]
     items = [(k, text(r.randrange(3, 14))) for k in range(20)] + [(30, None), (31, "")]
     assert find_leaks(spark, docs, items, 5, 3) == leak_model(docs, items, 5)
+    assert find_leaks(spark, docs, items, 5, 3, most_items=0) == leak_model(docs, items, 5)
 
 
 def test_leak_in_another_dress(spark):
