@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from zlib import crc32
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,59 +18,80 @@ from ..session import cut
 BURST = 64
 #: Subtrees with more terms than this, over all workers, are routed by a longer prefix.
 ROUTE_TERMS = 100_000
-LEAF = pa.schema([("field", pa.string()), ("prefix", pa.string()), ("suffixes", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("records", pa.list_(pa.int64()))])
-DDL = "field string, prefix string, suffixes array<string>, totals array<bigint>, records array<bigint>"
+#: Most prefixes that route, and the longest of them; below the longest, terms are spread by their hash.
+ROUTES, DEEPEST, SPREAD = 200_000, 64, 256
+LEAF = pa.schema([("field", pa.string()), ("route", pa.string()), ("prefix", pa.string()), ("suffixes", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("records", pa.list_(pa.int64()))])
+DDL = "field string, route string, prefix string, suffixes array<string>, totals array<bigint>, records array<bigint>"
+OUT = pa.schema([("field", pa.string()), ("term", pa.string()), ("n_total", pa.int64()), ("n_records", pa.int64())])
+
+
+class Inner(dict):
+    """A burst container: children by their next character."""
 
 
 class BurstTrie:
-    """Counts by term. Inner nodes are keyed by one character; a leaf maps suffixes to [occurrences, records]."""
+    """Counts by term. A leaf maps suffixes to slots of two packed arrays of counters; full leaves burst into inner nodes."""
 
     def __init__(self, burst: int = BURST) -> None:
         self.burst = burst
         self.root: dict = {}
-        self.inner = {id(self.root): False}
+        self.totals, self.records = array("q"), array("q")
 
     def add(self, term: str, total: int, records: int) -> None:
-        node, at, inner = self.root, 0, self.inner
-        while inner[id(node)]:
-            step = term[at : at + 1]
-            nxt = node.get(step)
-            if nxt is None:
-                nxt = node[step] = {}
-                inner[id(nxt)] = False
-            node = nxt
+        node, at, above = self.root, 0, None
+        while type(node) is Inner:
+            above, step = node, term[at : at + 1]
+            node = above.get(step)
+            if node is None:
+                node = above[step] = {}
             at += 1
-        entry = node.get(term[at:])
-        if entry is None:
-            node[term[at:]] = [total, records]
-            if len(node) > self.burst:
-                self._burst(node)
-        else:
-            entry[0] += total
-            entry[1] += records
-
-    def _burst(self, node: dict) -> None:
-        """Turn a full container into an inner node; a term that ends here goes to the child of the empty step."""
-        children: dict = {}
-        for suffix, entry in node.items():
-            children.setdefault(suffix[:1], {})[suffix[1:]] = entry
-        node.clear()
-        node.update(children)
-        self.inner[id(node)] = True
-        for child in children.values():
-            self.inner[id(child)] = False
+        suffix = term[at:]
+        slot = node.get(suffix)
+        if slot is not None:
+            self.totals[slot] += total
+            self.records[slot] += records
+            return
+        node[suffix] = len(self.totals)
+        self.totals.append(total)
+        self.records.append(records)
+        if len(node) > self.burst:
+            inner = self._burst(node)
+            if above is None:
+                self.root = inner
+            else:
+                above[step] = inner
+
+    @staticmethod
+    def _burst(leaf: dict) -> Inner:
+        """A full leaf as an inner node; a term that ends here goes to the child of the empty step."""
+        inner = Inner()
+        for suffix, slot in leaf.items():
+            inner.setdefault(suffix[:1], {})[suffix[1:]] = slot
+        return inner
 
     def leaves(self) -> Iterator[tuple[str, dict]]:
         todo = [("", self.root)]
         while todo:
             prefix, node = todo.pop()
-            if self.inner[id(node)]:
+            if type(node) is Inner:
                 todo += [(prefix + step, child) for step, child in node.items()]
             elif node:
                 yield prefix, node
 
+    def rows(self, field: str) -> Iterator[tuple]:
+        """The leaves as rows (field, route, prefix, suffixes, totals, records), without a route."""
+        for prefix, leaf in self.leaves():
+            yield field, None, prefix, [*leaf], [self.totals[k] for k in leaf.values()], [self.records[k] for k in leaf.values()]
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
+
 
 def build(batches: Iterable[pa.RecordBatch], burst: int) -> Iterator[pa.RecordBatch]:
+    """The leaves of the tries in which a worker counts its rows, one trie for each field."""
     tries: dict[str, BurstTrie] = {}
     for batch in batches:
         for field, term, total, records in zip(*(c.to_pylist() for c in batch.columns)):
@@ -74,21 +99,70 @@ def build(batches: Iterable[pa.RecordBatch], burst: int) -> Iterator[pa.RecordBa
             if trie is None:
                 trie = tries[field] = BurstTrie(burst)
             trie.add(term, total, records)
-    rows = [(field, prefix, [*node], [e[0] for e in node.values()], [e[1] for e in node.values()]) for field, trie in tries.items() for prefix, node in trie.leaves()]
-    for k in range(0, len(rows), 1000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000]), LEAF.types)], schema=LEAF)
+    yield from _batches((row for field, trie in tries.items() for row in trie.rows(field)), LEAF, 1000)
 
 
-def heavy_prefixes(leaves: DataFrame, route_terms: int) -> DataFrame:
-    """One row (field, heavy) for each field: the prefixes under which the workers' leaves hold more than a subtree's worth of terms.
+def heavy_prefixes(leaves: DataFrame, route_terms: int) -> dict[str, set[str]]:
+    """By field, the prefixes under which the leaves of all workers hold more terms than a subtree may have.
 
-    A subtree's worth is ``route_terms``, or a thousandth of all terms if that is more, so the array never has more
-    than a thousand prefixes of each length, however many terms there are.
+    A subtree may have ``route_terms`` terms, or four, sixteen ... times as many if more than ``ROUTES`` prefixes
+    would be heavy otherwise; so what is sent to the workers has a bound, however many terms there are.
     """
-    steps = leaves.select("field", F.size("suffixes").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda k: F.substring(F.col("prefix"), F.lit(1), k))).alias("route"))
-    sums = steps.groupBy("field", "route").agg(F.sum("n").alias("n"))
-    most = sums.where(F.col("route") == "").select("field", F.greatest(F.lit(route_terms), F.col("n") / 1000).alias("most"))
-    return sums.join(most, "field").groupBy("field").agg(F.collect_list(F.when(F.col("n") > F.col("most"), F.col("route"))).alias("heavy"))
+    steps = leaves.select("field", F.size("suffixes").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(DEEPEST), F.length("prefix"))), lambda k: F.substring(F.col("prefix"), F.lit(1), k))).alias("route"))
+    sums = cut(steps.groupBy("field", "route").agg(F.sum("n").alias("n")).where(F.col("n") > route_terms))
+    counts = sums.agg(*[F.count_if(F.col("n") > route_terms * 4**k).alias(str(k)) for k in range(16)]).first()
+    most = next((route_terms * 4**k for k in range(16) if counts[k] <= ROUTES), route_terms * 4**16)
+    heavy: dict[str, set[str]] = {}
+    for row in sums.where(F.col("n") > most).toLocalIterator():
+        heavy.setdefault(row["field"], set()).add(row["route"])
+    return heavy
+
+
+def route_of(term: str, heavy: set[str]) -> str:
+    """The prefix of a term that is one character longer than its longest heavy prefix; below the longest, a hash."""
+    depth = 0
+    while depth <= len(term) and term[:depth] in heavy:
+        depth += 1
+    if depth > DEEPEST:
+        return f"{term[:DEEPEST]}\x00{crc32(term.encode('utf-8', 'surrogatepass')) % SPREAD}"
+    return term[:depth]
+
+
+def routed(batches: Iterable[pa.RecordBatch], heavy: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The leaves with their routes; a leaf above a route is split among the routes of its terms."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for field, _, prefix, suffixes, totals, records in zip(*(c.to_pylist() for c in batch.columns)):
+                own = heavy.value.get(field, set())
+                if prefix not in own and len(prefix) <= DEEPEST:
+                    yield field, route_of(prefix, own), prefix, suffixes, totals, records
+                    continue
+                parts: dict[str, list] = {}
+                for s, t, r in zip(suffixes, totals, records):
+                    parts.setdefault(route_of(prefix + s, own), []).append((s, t, r))
+                for route, part in parts.items():
+                    yield field, route, prefix, *map(list, zip(*part))
+
+    yield from _batches(rows(), LEAF, 1000)
+
+
+def merge(batches: Iterable[pa.RecordBatch], burst: int) -> Iterator[pa.RecordBatch]:
+    """The counts of all terms from leaves sorted by field and route: matching subtrees of all workers become one trie."""
+    key, trie = None, BurstTrie(burst)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if key is not None:
+            yield from _batches(((key[0], prefix + s, trie.totals[k], trie.records[k]) for prefix, leaf in trie.leaves() for s, k in leaf.items()), OUT, 10_000)
+
+    for batch in batches:
+        for field, route, prefix, suffixes, totals, records in zip(*(c.to_pylist() for c in batch.columns)):
+            if (field, route) != key:
+                yield from out()
+                key, trie = (field, route), BurstTrie(burst)
+            for s, t, r in zip(suffixes, totals, records):
+                trie.add(prefix + s, t, r)
+    yield from out()
 
 
 def term_frequencies(counts: DataFrame, field: Column, term: Column, record: Column, total: Column, burst: int = BURST, route_terms: int = ROUTE_TERMS) -> DataFrame:
@@ -99,7 +173,7 @@ def term_frequencies(counts: DataFrame, field: Column, term: Column, record: Col
     rows. Each worker counts its (term, record) rows in burst tries, whose containers split by the next character when
     they fill up. The leaves of all workers then meet by routing prefix: the prefix of a term is one character longer
     than the longest prefix whose summed subtrees are too large for one reducer, and empty while the whole trie is
-    small. Matching subtrees are merged there by suffix.
+    small. There the matching subtrees are merged into one trie, one route after the other.
 
     Null terms and totals that are null or not above 0 are left out; a null record counts occurrences but no record.
     The caller normalises terms. Very long terms are kept whole. An empty input gives no rows. Repeated mentions add up:
@@ -108,8 +182,6 @@ def term_frequencies(counts: DataFrame, field: Column, term: Column, record: Col
     rows = counts.select(field.alias("field"), term.alias("term"), record.cast("string").alias("record"), total.cast("bigint").alias("total")).where(F.col("term").isNotNull() & (F.col("total") > 0))
     pairs = rows.groupBy("field", "term", "record").agg(F.sum("total").alias("total")).select("field", "term", "total", F.col("record").isNotNull().cast("bigint").alias("records"))
     leaves = cut(pairs.mapInArrow(lambda b: build(b, burst), DDL))
-    routed = leaves.join(F.broadcast(heavy_prefixes(leaves, route_terms)), "field")
-    entries = routed.select("field", "prefix", "heavy", F.explode(F.arrays_zip("suffixes", "totals", "records")).alias("e")).select("field", F.concat("prefix", "e.suffixes").alias("term"), "e.totals", "e.records", "heavy")
-    depth = F.array_max(F.transform(F.filter("heavy", lambda p: F.col("term").startswith(p)), lambda p: F.length(p) + 1))
-    subtrees = entries.withColumn("route", F.substring(F.col("term"), F.lit(1), F.coalesce(depth, F.lit(0)))).drop("heavy").repartition("field", "route")
-    return subtrees.groupBy("field", "route", "term").agg(F.sum("totals").alias("n_total"), F.sum("records").alias("n_records")).drop("route")
+    heavy = counts.sparkSession.sparkContext.broadcast(heavy_prefixes(leaves, route_terms))
+    subtrees = leaves.mapInArrow(lambda b: routed(b, heavy), DDL).repartition("field", "route").sortWithinPartitions("field", "route")
+    return subtrees.mapInArrow(lambda b: merge(b, burst), "field string, term string, n_total bigint, n_records bigint")

@@ -67,7 +67,7 @@ def test_trie_holds_every_term(pairs):
     for term, n in pairs:
         trie.add(term, n, 1)
         want[term] += n
-    got = {prefix + suffix: e[0] for prefix, node in trie.leaves() for suffix, e in node.items()}
+    got = {prefix + suffix: trie.totals[k] for prefix, node in trie.leaves() for suffix, k in node.items()}
     assert got == dict(want)
 
 
