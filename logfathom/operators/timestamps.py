@@ -90,7 +90,7 @@ def normalise_times(rows: DataFrame, text: str, source: str, tz: str, latest_us:
     names = rows.columns
     at = [names.index(c) for c in (text, tz, latest_us)]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "__time_set string", f"__time_parses {PARSES_DDL}"])
-    base = rows.mapInArrow(lambda b: read(b, *at), ddl).withColumn("__time_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    base = cut(rows.mapInArrow(lambda b: read(b, *at), ddl).withColumn("__time_source", F.coalesce(F.col(source).cast("string"), F.lit(""))))
 
     sets = base.where("__time_set is not null").groupBy("__time_source", "__time_set").agg(F.count("*").alias("n"))
     by_source = sets.groupBy(F.col("__time_source").alias("source")).agg(F.collect_list(F.struct(F.col("__time_set").alias("parses"), "n")).alias("sets"))
