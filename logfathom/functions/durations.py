@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Duration fields in the order in which they stand for an event, by their JSON names.
@@ -21,12 +21,18 @@ def field(line: Column, name: str) -> Column:
 def seconds(text: Column) -> Column:
     """Seconds of ``2.5ms``, ``300µs``, ``40ns`` or ``1.2s``: the first number by the unit that the text contains."""
     number = F.nullif(F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
-    return F.when(F.contains(text, F.lit("ms")), number / 1000).when(F.contains(text, F.lit("us")) | F.contains(text, F.lit("µs")), number / 1_000_000).when(F.contains(text, F.lit("ns")), number / 1_000_000_000).when(F.contains(text, F.lit("s")), number)
+    has = lambda unit: F.contains(text, F.lit(unit))
+    return number / F.when(has("ms"), 1e3).when(has("us") | has("µs"), 1e6).when(has("ns"), 1e9).when(has("s"), 1.0)
 
 
-def primary(line: Column) -> Column:
-    """Seconds of the first duration field that can be read."""
-    return F.coalesce(*[seconds(field(line, n)) for n in PRIMARY])
+def with_durations(rows: DataFrame, line: str, primary: str = "took_s", expected: str = "expected_s") -> DataFrame:
+    """Adds the seconds of the first duration field that can be read, and of the expected duration.
+
+    The texts of the fields are taken out of the line first, each once; what is made of them refers to columns.
+    """
+    texts = rows.select("*", *[field(F.col(line), n).alias(f"__{n}") for n in FIELDS])
+    read = texts.select("*", *[seconds(F.col(f"__{n}")).alias(f"__{n}_s") for n in FIELDS])
+    return read.withColumns({primary: F.coalesce(*[F.col(f"__{n}_s") for n in PRIMARY]), expected: F.col("__expected_s")}).drop(*[f"__{n}{end}" for n in FIELDS for end in ("", "_s")])
 
 
 def to_ms(value: Column, unit: Column) -> Column:

@@ -98,15 +98,21 @@ def worst(events: DataFrame, keys: list[str], rank: Column, confidence: str, us:
     return events.groupBy(*keys).agg(F.min_by(event_id, order).alias("worst_event_id"))
 
 
+def _by_type(values: dict) -> Column:
+    return F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
+
+
 def duration_severity(event_type: Column, ms: Column, key: Column, took_s: Column, expected_s: Column, pack: RulePack) -> Column:
-    """The severity of an event raised by its duration and by the ratio of taken to expected time; never lowered."""
-    limits = F.lit(None).cast("array<double>")
-    for name, t in pack.policies.items():
-        limits = F.when(event_type == name, F.array(*map(F.lit, t))).otherwise(limits)
+    """The severity of an event raised by its duration and by the ratio of taken to expected time; never lowered.
+
+    Ranks and limits are looked up in literal maps, so each argument occurs a few times at most; give columns.
+    """
+    limits = F.try_element_at(_by_type({name: F.array(*map(F.lit, map(float, t))) for name, t in pack.policies.items()}), event_type)
     for prefix, t in pack.keyspace_policies:
-        limits = F.when(key.startswith(prefix), F.array(*map(F.lit, t))).otherwise(limits)
-    by_ms = F.when(limits.isNotNull() & ms.isNotNull(), F.size(F.filter(limits, lambda t: ms >= t))).otherwise(0)
+        limits = F.when(key.startswith(prefix), F.array(*map(F.lit, map(float, t)))).otherwise(limits)
+    by_ms = F.coalesce(F.size(F.filter(limits, lambda t: ms >= t)), F.lit(0))
     ratio = took_s / F.nullif(expected_s, F.lit(0.0))
     medium, high, critical = pack.ratio_boost
     by_ratio = F.when(ratio >= critical, 4).when(ratio >= high, 3).when(ratio >= medium, 2).otherwise(0)
-    return severity.label(F.greatest(severity.rank(base_severity(event_type, pack)), by_ms, by_ratio))
+    ranks = {s.event_type: F.lit(severity.LABELS.index(s.severity)) for s in reversed(pack.signatures)}
+    return severity.label(F.greatest(F.coalesce(F.try_element_at(_by_type(ranks), event_type), F.lit(0)), F.greatest(by_ms, F.lit(0)), by_ratio))

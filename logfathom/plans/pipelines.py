@@ -57,7 +57,7 @@ def triage(spark: SparkSession, root: str, out: str, severities: tuple[str, ...]
         events = cut(timeline.sequential_ids(timed, ["scope"], ["file_ord", "line_number", "sig_ord"], F.struct("file_ord", F.floor(F.col("line_number") / 100_000))).withColumnRenamed("seq_id", "event_id"))
         if max_events is not None:
             ledger["events_truncated"] = events.limit(max_events + 1).count() > max_events
-            events = events.orderBy("event_id").limit(max_events)
+            events = events.orderBy(F.length("event_id"), "event_id").limit(max_events)  # evt_1000000 after evt_999999
         hashed = events.withColumn("event_hash", timeline.event_hash(*map(F.col, ("source_relpath", "line_number", "signature_id", "ts_raw", "event_type", "peer", "port", "line"))))
         tables.write_jsonl(hashed.drop("scope"), f"{out}/events", "events", overwrite)
         members = bursts.burst_members(events.where(F.col("event_type").isin(*packs.HOST.chatty)), KEYS, "us", 30_000_000, 60_000_000)
@@ -84,7 +84,7 @@ def store_events(raw: DataFrame, latest_us: int | None = None) -> DataFrame:
     """The events of a store's log, rated by duration: source, time, type, severity, milliseconds, key."""
     line = F.col("line")
     kinds = timed_lines(raw.withColumn("event_type", matching.first_match(line, packs.STORE)).where("event_type is not null"), latest_us=latest_us).where("us is not null")
-    rated = kinds.withColumn("took_s", durations.primary(line)).withColumn("expected_s", durations.seconds(durations.field(line, "expected"))).withColumn("key", F.regexp_extract(line, 'key[:=]"?([^"\\s]+)', 1))
+    rated = durations.with_durations(kinds, "line").withColumn("key", F.regexp_extract(line, 'key[:=]"?([^"\\s]+)', 1))
     ms = F.round(F.col("took_s") * 1000, 6)
     return rated.withColumn("ms", ms).withColumn("severity", matching.duration_severity(F.col("event_type"), F.col("ms"), F.col("key"), F.col("took_s"), F.col("expected_s"), packs.STORE))
 

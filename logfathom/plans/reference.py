@@ -148,8 +148,9 @@ _LIM = "case " + " ".join(f"when starts_with(key, '{p}') then [{', '.join(map(st
 )
 def q09_duration_severity(spark, folder):
     m = F.col("message")
-    rows = candidate_lines(spark, folder).select(matching.first_match(m, packs.STORE).alias("kind"), durations.primary(m).alias("s"), durations.seconds(durations.field(m, "expected")).alias("x"), F.regexp_extract(m, r"key=(\S+)", 1).alias("key")).where("kind is not null")
-    rated = matching.duration_severity(F.col("kind"), F.round(F.col("s") * 1000, 6), F.col("key"), F.col("s"), F.col("x"), packs.STORE)
+    typed = candidate_lines(spark, folder).select("message", matching.first_match(m, packs.STORE).alias("kind"), F.regexp_extract(m, r"key=(\S+)", 1).alias("key")).where("kind is not null")
+    rows = durations.with_durations(typed, "message")
+    rated = matching.duration_severity(F.col("kind"), F.round(F.col("took_s") * 1000, 6), F.col("key"), F.col("took_s"), F.col("expected_s"), packs.STORE)
     return rows.select("kind", rated.alias("severity")).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
 
@@ -262,11 +263,15 @@ def q19_heuristic_findings(spark, folder):
     return findings.findings(timeline_events(spark, folder), ["bundle_id"], "event_type", "us", packs.HOST.heuristics)
 
 
-_PAIRS = ", ".join(f"('{h.id}', '{k}')" for h in packs.HOST.heuristics for k, _ in h.thresholds)
+_PAIRS = ", ".join(f"('{h.id}', '{k}', {i}, {str(i >= len(h.thresholds)).lower()})" for h in packs.HOST.heuristics for i, k in enumerate([*(k for k, _ in h.thresholds), *dict.fromkeys(h.supports)]))
 
 
-@query(f"""with recursive {_finding_sql()}, i as (select f.bundle_id, f.heuristic_id, f.place, te.event_type, te.event_id, te.us, row_number() over (partition by f.bundle_id, f.heuristic_id, f.place, te.event_type order by te.us, te.event_id) as rn, count(*) over (partition by f.bundle_id, f.heuristic_id, f.place, te.event_type) as n
-    from found f join (values {_PAIRS}) v(h, k) on v.h = f.heuristic_id join te on te.bundle_id = f.bundle_id and te.event_type = v.k and te.us between f.start_us and f.end_us) select bundle_id, heuristic_id, place, event_type, event_id, us from i where rn = 1 or rn = n // 2 + 1 or rn = n""")
+@query(f"""with recursive {_finding_sql()},
+    i as (select f.bundle_id, f.heuristic_id, f.place, v.ord, v.sup, te.event_type, te.event_id, te.us, row_number() over w as rn, count(*) over (partition by f.bundle_id, f.heuristic_id, f.place, v.ord) as n
+      from found f join (values {_PAIRS}) v(h, k, ord, sup) on v.h = f.heuristic_id join te on te.bundle_id = f.bundle_id and te.event_type = v.k and te.us between f.start_us and f.end_us
+      window w as (partition by f.bundle_id, f.heuristic_id, f.place, v.ord order by te.us, te.event_id)),
+    j as (select *, row_number() over (partition by bundle_id, heuristic_id, place order by ord, rn) as line from i where rn = 1 or rn = n or not sup and rn = n // 2 + 1)
+    select bundle_id, heuristic_id, place, event_type, event_id, us from j where not sup or line <= 12""")
 def q20_finding_evidence(spark, folder):
     events = timeline_events(spark, folder)
     return findings.evidence(findings.findings(events, ["bundle_id"], "event_type", "us", packs.HOST.heuristics), events, ["bundle_id"], "event_type", "us", "event_id", packs.HOST.heuristics)
