@@ -15,6 +15,19 @@ def parse_nodes(texts: DataFrame, keys: list[str], body: str) -> DataFrame:
     return texts.select(*keys, F.explode(records).alias("n")).where(F.trim("n.ID") != "").select(*keys, "n.*")
 
 
+def node_records(files: DataFrame) -> DataFrame:
+    """(hostname, address, cluster_id, node_id) of the node records in listed files with content; the cluster's id is not in them."""
+    n = parse_nodes(files.select(F.col("content").cast("string").alias("body")), [], "body")
+    return n.select(F.col("Description.Hostname").alias("hostname"), F.col("Status.Addr").alias("address"), F.lit(None).cast("string").alias("cluster_id"), F.col("ID").alias("node_id"))
+
+
+# How a node's status file states its facts, the first line of each form.
+DSINFO = {
+    "told_host": r"^\s*(?:Static hostname|Hostname|hostname|Name)\s*[:=]\s*(\S+)", "told_address": r"^\s*(?:inet|IP|IP Address|Node Address)\s*[: ]\s*([0-9]{1,3}(?:\.[0-9]{1,3}){3})", "mask": r"^\s*inet\s+[0-9.]+/([0-9]{1,2})\b",
+    "system": r"^\s*(?:Operating System|PRETTY_NAME)\s*[:=]\s*\"?([^\"]+?)\"?\s*$", "kernel": r"^\s*Kernel(?: Version)?\s*:\s*(.+?)\s*$", "hypervisor": r"^\s*(?:Virtualization|Hypervisor vendor)\s*:\s*(.+?)\s*$", "uptime": r"\bup\s+(.+?),\s+\d+ users?",
+}
+
+
 def role(spec_role: Column, has_status: Column, leader: Column) -> Column:
     """leader, manager, BAD-Manager (a manager without a manager's status) or worker."""
     return F.when(spec_role == "manager", F.when(~has_status, "BAD-Manager").when(F.coalesce(leader, F.lit(False)), "leader").otherwise("manager")).when(spec_role.isNotNull(), "worker")

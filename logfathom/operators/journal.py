@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +27,12 @@ def signature_groups(signals: DataFrame, keys: list[str], kind: str, line: str,
     return grouped.withColumn("label", T.journal_label(F.col(kind), F.col("template")))
 
 
+def repeating(groups: DataFrame, keys: list[str], most: int = 5, least: int = 3) -> DataFrame:
+    """The ``most`` frequent signature groups of each key that have at least ``least`` lines, of equal counts by label, then template."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "label", "template"))
+    return groups.where(F.col("n") >= least).withColumn("place", place).where(F.col("place") <= most)
+
+
 def samples(signals: DataFrame, keys: list[str], us: str, id_: str, ends: int = 2) -> DataFrame:
     """The first and last ``ends`` lines of each key, and how many between them are left out.
 
@@ -41,7 +47,9 @@ def samples(signals: DataFrame, keys: list[str], us: str, id_: str, ends: int =
     return both.join(counts, keys).withColumn("suppressed", F.greatest(F.lit(0), F.col("__of") - 2 * ends)).drop("__of")
 
 
-def flatten_message(body: str):
-    """The scalar values of a JSON line joined by blanks, in the order in which they stand."""
-    values = F.map_values(F.from_json(F.col(body), "map<string,string>"))
-    return F.array_join(F.filter(values, lambda v: ~v.startswith("{") & ~v.startswith("[")), " ")
+def flatten_message(line: Column | str) -> Column:
+    """The scalar values of a JSON line joined by blanks, in the order in which they stand; any other line as it is."""
+    line = F.col(line) if isinstance(line, str) else line
+    values = F.map_values(F.from_json(line, "map<string,string>"))
+    flat = F.array_join(F.filter(values, lambda v: ~v.startswith("{") & ~v.startswith("[")), " ")
+    return F.when(line.startswith("{"), F.coalesce(F.nullif(flat, F.lit("")), line)).otherwise(line)

@@ -69,15 +69,15 @@ def match_signatures(lines: DataFrame, line: str, pack: RulePack, most: int = 3,
     return rows.where(F.col("severity").isin(*severities)) if severities else rows
 
 
-def count_patterns(lines: DataFrame, path: str, number: str, line: str, patterns: tuple[str, ...], day: Column | None = None) -> DataFrame:
+def count_patterns(lines: DataFrame, path: str, number: str, line: str, patterns: tuple[str, ...], day: Column | None = None, numbers: bool = False) -> DataFrame:
     """(pattern, path, day, n, first_line, last_line): hits of every pattern by file, and by day if one is given.
 
     Each line is read once; hits are exploded and aggregated with map-side combine, so a file with a third of all
-    lines is a few rows before the shuffle.
+    lines is a few rows before the shuffle. ``numbers`` adds those of the first and last line.
     """
     hits = F.filter(F.array(*[F.when(F.col(line).rlike(p), p) for p in patterns]), lambda x: x.isNotNull())
     rows = lines.select(F.col(path).alias("path"), F.col(number).alias("number"), F.col(line).alias("line"), (day if day is not None else F.lit(None).cast("string")).alias("day"), F.explode(hits).alias("pattern"))
-    return rows.groupBy("pattern", "path", "day").agg(F.count("*").alias("n"), F.min_by("line", "number").alias("first_line"), F.max_by("line", "number").alias("last_line"))
+    return rows.groupBy("pattern", "path", "day").agg(F.count("*").alias("n"), F.min_by("line", "number").alias("first_line"), F.max_by("line", "number").alias("last_line"), *([F.min("number").alias("first_number"), F.max("number").alias("last_number")] if numbers else []))
 
 
 def with_zeros(counts: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
@@ -87,6 +87,13 @@ def with_zeros(counts: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     return spine.join(totals, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def with_day_zeros(counts: DataFrame, patterns: tuple[str, ...], days: list[str]) -> DataFrame:
+    """(pattern, day, n): the hits of every pattern on every day, also those without a hit."""
+    spine = counts.sparkSession.createDataFrame([(p, d) for p in patterns for d in days], "pattern string, day string")
+    totals = counts.groupBy("pattern", "day").agg(F.sum("n").alias("n"))
+    return spine.join(totals, ["pattern", "day"], "left").select("pattern", "day", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def density(n: Column, width: int = 20) -> Column:
     """The length of a bar in proportion to the greatest of a small result."""
     return F.floor(n / F.max(n).over(W.partitionBy(F.lit(1))) * width).cast("int")

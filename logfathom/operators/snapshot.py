@@ -36,9 +36,44 @@ def health_line(line: Column) -> Column:
 
 
 def member_line(line: Column) -> Column:
-    """(id, status, name, peer_urls, client_urls, learner) of a member list line; other lines give null."""
+    """(id, status, name, peer_urls, client_urls, is_leader, learner) of a member list line; other lines give null.
+
+    Three forms: cells between commas, ``member <id> name=... peerURLs=...`` and ``<id>: name=... peerURLs=...``. A
+    line of a name and a colon without any of these fields is no member.
+    """
     parts = F.split(line, r",\s*")
-    return F.when((F.size(parts) >= 5) & F.get(parts, 0).rlike("^[0-9a-f]{8,16}$"), F.struct(F.get(parts, 0).alias("id"), F.get(parts, 1).alias("status"), F.get(parts, 2).alias("name"), F.get(parts, 3).alias("peer_urls"), F.get(parts, 4).alias("client_urls"), (F.get(parts, 5) == "true").alias("learner")))
+    cells = (F.size(parts) >= 5) & F.get(parts, 0).rlike("^[0-9a-f]{8,16}$")
+    urls = lambda c: F.split(F.nullif(c, F.lit("")), ",")
+    value = lambda name: F.nullif(F.regexp_extract(line, rf"\b{name}\s*=\s*(\S+)", 1), F.lit(""))
+    named = line.rlike(r"^\s*(?:(?i:member)\s+\S+\s|[^:\s]+\s*:\s).*\b(?:name|peerURLs|clientURLs)\s*=")
+    by_cells = F.struct(F.get(parts, 0).alias("id"), F.get(parts, 1).alias("status"), F.get(parts, 2).alias("name"), urls(F.get(parts, 3)).alias("peer_urls"), urls(F.get(parts, 4)).alias("client_urls"), F.lit(None).cast("boolean").alias("is_leader"), (F.get(parts, 5) == "true").alias("learner"))
+    id_ = F.coalesce(F.nullif(F.regexp_extract(line, r"^\s*(?i:member)\s+(\S+)\s", 1), F.lit("")), F.regexp_extract(line, r"^\s*([^:\s]+)\s*:", 1))
+    by_name = F.struct(id_.alias("id"), F.lit(None).cast("string").alias("status"), value("name").alias("name"), urls(value("peerURLs")).alias("peer_urls"), urls(value("clientURLs")).alias("client_urls"), (F.lower(value("isLeader")) == "true").alias("is_leader"), (F.lower(value("isLearner")) == "true").alias("learner"))
+    return F.when(cells, by_cells).when(named, by_name)
+
+
+def took_ms(text: Column) -> Column:
+    """Milliseconds of a cell such as ``1.2ms`` or ``300µs``; null for anything else."""
+    form = r"^([0-9]+(?:\.[0-9]+)?)\s*(ns|us|µs|ms|s|m)\s*$"
+    return to_ms(F.nullif(F.regexp_extract(text, form, 1), F.lit("")).try_cast("double"), F.regexp_extract(text, form, 2))
+
+
+def status_tables(files: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(health, status, members) of status files, one row for each line or table row of the kind.
+
+    health (keys, endpoint, healthy, took_ms, error) comes from narrative lines and from tables with HEALTH and TOOK;
+    status (keys, endpoint, is_leader, is_learner, term, raft_index, applied_index) from tables with IS LEADER; members
+    as ``member_line``. Cells that are no number give null.
+    """
+    rows = table_rows(files, keys, text)
+    cell = lambda name: F.try_element_at("cells", F.lit(name))
+    tabled = rows.where(cell("health").isNotNull() & (cell("endpoint") != "")).select(*keys, cell("endpoint").alias("endpoint"), F.lower(cell("health")).isin("true", "healthy").alias("healthy"), took_ms(cell("took")).alias("took_ms"), F.nullif(cell("error"), F.lit("")).alias("error"))
+    lines = files.select(*keys, F.explode(F.split(F.col(text), r"\r?\n")).alias("line"))
+    told = lines.select(*keys, health_line(F.col("line")).alias("h")).where("h is not null").select(*keys, "h.endpoint", "h.healthy", "h.took_ms", F.lit(None).cast("string").alias("error"))
+    number = lambda name: cell(name).try_cast("bigint")
+    status = rows.where(cell("is_leader").isNotNull() & (cell("endpoint") != "")).select(*keys, cell("endpoint").alias("endpoint"), (F.lower(cell("is_leader")) == "true").alias("is_leader"), (F.lower(cell("is_learner")) == "true").alias("is_learner"), number("raft_term").alias("term"), number("raft_index").alias("raft_index"), number("raft_applied_index").alias("applied_index"))
+    members = lines.select(*keys, member_line(F.col("line")).alias("m")).where("m is not null").select(*keys, "m.*")
+    return tabled.unionByName(told), status, members
 
 
 def health_metrics(health: DataFrame, keys: list[str], endpoint: str, ms: str, slow_ms: float = SLOW_MS) -> DataFrame:
@@ -96,3 +131,14 @@ def synthesis(status: DataFrame, health: DataFrame, scope: list[str]) -> DataFra
     slow = slow_endpoints(health, scope, "endpoint", "took_ms").groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("endpoint", "n_slow", "n_seen", "significant", "pattern"))).alias("slow_endpoints"))
     voters = status.groupBy(*scope).agg(F.count_distinct("host").alias("n_hosts"), F.count_distinct("endpoint").alias("n_endpoints")).withColumn("risk", topology_risk(F.col("n_hosts"), F.col("n_endpoints")))
     return raft.join(vote, scope, "left").join(latency, scope, "left").join(slow, scope, "left").join(voters, scope, "left")
+
+
+def slowest_endpoints(seen: DataFrame, keys: list[str], endpoint: str, ms: str, most: int | None = None, slow_ms: float = SLOW_MS) -> DataFrame:
+    """The slow endpoints of each key by their greatest latency, of equal ones by name, with ``place``; all or the first ``most``."""
+    ranked = slow_endpoints(seen, keys, endpoint, ms, slow_ms).withColumn("place", F.row_number().over(W.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("max_ms"), endpoint)))
+    return ranked if most is None else ranked.where(F.col("place") <= most)
+
+
+def leader_first(rows: DataFrame, host: str, leader: str) -> DataFrame:
+    """Rows in the order of a report: the leader's host, then the others by name."""
+    return rows.orderBy(F.coalesce(F.col(host) != F.col(leader), F.lit(True)), host)

@@ -49,3 +49,32 @@ def pattern_report(totals: list, most: int = 7) -> str:
     top = sorted((t for t in totals if t["n"]), key=lambda t: (-t["n"], t["pattern"]))[:most]
     high = top[0]["n"] if top else 0
     return "\n".join([f"{t['n']:>9} {bar(t['n'], high):<20} {t['pattern']}" for t in top]) + "\n"
+
+
+def pattern_summary(title: str, totals: list[dict], most: int = 7) -> str:
+    """The summary of a pattern scan: the densest patterns and, where dates were asked for, their days."""
+    top = sorted((t for t in totals if t["n"]), key=lambda t: (-t["n"], t["pattern"]))[:most]
+    high = top[0]["n"] if top else 0
+    parts = [f"# {title}", f"{sum(t['n'] for t in totals)} hits of {len(totals)} patterns, {sum(not t['n'] for t in totals)} without a hit.", table(("hits", "", "pattern"), [(t["n"], bar(t["n"], high), t["pattern"]) for t in top]) if top else "None."]
+    dated = [t for t in top if t.get("date_breakdown")]
+    if dated:
+        days = sorted(dated[0]["date_breakdown"])
+        parts += ["## Days", table(("pattern", *days), [(t["pattern"], *(t["date_breakdown"][d] for d in days)) for t in dated])]
+    return "\n\n".join(parts) + "\n"
+
+
+def redaction_report(report: dict) -> str:
+    parts = ["# Redaction", f"{report['renamed_paths']} paths renamed."]
+    for title, key in (("Files", "files"), ("Replacements", "replacements_by_class"), ("Known entities", "seeded")):
+        parts += [f"## {title}", table(("class", "n"), sorted(report[key].items())) if report[key] else "None."]
+    return "\n\n".join(parts) + "\n"
+
+
+def cluster_report(title: str, together: dict, nodes: list[dict], endpoints: list[dict], groups: list[dict], counts: dict) -> str:
+    """The report of a cluster run, the leader's host first; says how many hosts are not shown."""
+    keys = ("leader", "n_votes", "stable", "n_terms", "index_drift", "concerning", "n_members", "n_learners", "min_ms", "max_ms", "risk")
+    parts = [f"# {title}", table(("", ""), [(k, together.get(k)) for k in keys]) if together else "No status tables."]
+    parts += ["## Hosts", table(("host", "name", "address", "events", "windows"), [(n["host"], n["hostname"], n["ip"], n["n_events"], n["n_windows"]) for n in nodes]), f"{counts['nodes_analyzed'] - len(nodes)} more hosts, {counts['nodes_skipped']} skipped."]
+    parts += ["## Slow endpoints", table(("endpoint", "host", "slow", "seen", "greatest ms", "pattern"), [(e["endpoint"], e["hostname"], e["n_slow"], e["n_seen"], e["max_ms"], e["pattern"]) for e in endpoints]) if endpoints else "None."]
+    parts += ["## Repeating journal signatures", table(("lines", "label", "retries", "from", "to", "template"), [(g["n"], g["label"], g["retry_intervals"], instant(g["first_us"]), instant(g["last_us"]), g["template"]) for g in groups]) if groups else "None."]
+    return "\n\n".join(parts) + "\n"

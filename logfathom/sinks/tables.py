@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +49,73 @@ def safe_tag(text: str) -> str:
 
 
 def write_tree(lines: DataFrame, target: str, folder: str) -> DataFrame:
-    """Texts as files below ``folder``: one file for each target, its lines in order; (target, n_lines) of what is written.
+    """Texts as files below ``folder``, a path or address of any file system that Arrow knows: (target, n_lines) of what is written.
 
-    ``lines`` has ``target``, line_number and redacted. A file is written by one task, as the file system demands.
+    ``lines`` has ``target``, line_number and redacted. The lines of a file come to one task in order and are written
+    as they come; a file gets its name when it is whole, so a task that is run again does no harm.
     """
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        path = Path(folder).joinpath(*[p for p in str(key[0]).split("/") if p not in ("", ".", "..")])
-        path.parent.mkdir(parents=True, exist_ok=True)
-        body = pdf.sort_values("line_number")["redacted"].fillna("")
-        path.write_text("\n".join(body) + "\n", encoding="utf-8")
-        return pd.DataFrame({"target": [key[0]], "n_lines": [len(body)]})
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(folder)
+        name, out, n, done = None, None, 0, []
 
-    return lines.select(F.col(target).alias("target"), "line_number", "redacted").groupBy("target").applyInPandas(one, "target string, n_lines bigint")
+        def finish() -> None:
+            if out is not None:
+                out.close()
+                fs.move(*_names(base, name))
+                done.append((name, n))
+
+        for batch in batches:
+            for at, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if at != name:
+                    finish()
+                    name, n, out = at, 0, _open(fs, base, at)
+                out.write((line or "").encode("utf-8", "surrogatepass") + b"\n")
+                n += 1
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["target", "n_lines"])
+
+    placed = lines.where(F.col(target).isNotNull()).select(F.col(target).alias("target"), "line_number", "redacted").repartition("target").sortWithinPartitions("target", "line_number")
+    return placed.mapInArrow(write, "target string, n_lines bigint")
+
+
+def copy_tree(files: DataFrame, target: str, folder: str) -> DataFrame:
+    """Files as they are (``target``, content) below ``folder``: (target, error), the error null where all went well."""
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(folder)
+        for batch in batches:
+            names, errors = batch.column(0).to_pylist(), []
+            for name, content in zip(names, batch.column(1).to_pylist()):
+                try:
+                    with _open(fs, base, name) as out:
+                        out.write(content or b"")
+                    fs.move(*_names(base, name))
+                    errors.append(None)
+                except OSError as e:
+                    errors.append(str(e)[:500])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(errors, pa.string())], ["target", "error"])
+
+    return files.select(F.col(target).alias("target"), "content").mapInArrow(write, "target string, error string")
+
+
+def _file_system(folder: str):
+    from pyarrow import fs
+
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+    return fs.LocalFileSystem(), folder
+
+
+def _names(base: str, target: str) -> tuple[str, str]:
+    parts = [p for p in target.split("/") if p not in ("", ".", "..")]
+    return "/".join([base.rstrip("/"), *parts[:-1], f".{parts[-1]}.part"]), "/".join([base.rstrip("/"), *parts])
+
+
+def _open(fs, base: str, target: str):
+    part, _ = _names(base, target)
+    fs.create_dir(part.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(part)
 
 
 def manifest(audit: DataFrame, path: str) -> DataFrame:

@@ -9,13 +9,16 @@ from ..operators import filters
 from ..rules import packs
 
 #: Ends of names of files that are text.
-TEXT_ENDS = ("txt", "log", "json", "yaml", "yml", "conf", "cfg", "csv", "md", "xml", "html", "ini", "env", "service", "out", "err", "pem", "crt")
+TEXT_ENDS = ("txt", "log", "json", "yaml", "yml", "conf", "cfg", "csv", "tsv", "cnf", "md", "xml", "html", "ini", "env", "service", "out", "err", "pem", "crt", "cer", "sh", "py", "js", "properties", "toml")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, relpath, size, mtime) of all files below a folder; contents are not read."""
+def list_files(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
+    """(path, relpath, size, mtime, content) of all files below a folder, or those of a name; contents are read only where they are used."""
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if name is not None:
+        reader = reader.option("pathGlobFilter", name)
+    files = reader.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     return files.withColumn("relpath", F.substring_index("path", base, -1))
 
 

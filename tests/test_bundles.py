@@ -15,7 +15,7 @@ from logfathom import cli
 from logfathom.functions import durations, payload, severity, spelling
 from logfathom.functions import text as T
 from logfathom.operators import filters, inventory, journal, matching, redact, snapshot, timeline
-from logfathom.plans import pipelines
+from logfathom.plans import cluster, pipelines
 from logfathom.rules import lint, loader, packs
 from logfathom.sinks import tables
 from logfathom.sources import archive, files, lines
@@ -80,6 +80,127 @@ def test_scan_and_redact(spark, bundle, tmp_path):
     assert counts == {"email": 1, "ip": 17}
     text = (tmp_path / "red/tree/var/log/docker.log").read_text(encoding="utf-8")
     assert "ann@corp.example" not in text and "user001@example.invalid" in text and len(text.splitlines()) == 19
+    assert (tmp_path / "red/tree/var/log/messages.gz").read_bytes() == b"\x00\x01"
+    assert json.loads((tmp_path / "red/report.json").read_text())["files"] == {"changed": 1, "copied": 1, "unchanged": 1}
+
+
+def test_redaction_end_to_end(spark, tmp_path):
+    """No seeded or found name is left anywhere in the tree: not in texts, not in paths."""
+    root = tmp_path / "in"
+    node, cluster, full, short = "k3v9q1x7z5m2n8b4c6d0f1g2h", "cl9q1x7z5m2n8b4c6d0f1g2hq", "ab" * 32, "0123456789ab"
+    (root / "Host-A.corp.example/logs").mkdir(parents=True)
+    (root / "Host-A.corp.example/logs/host-b.toml").write_text(f'url = "https://u@host-a.corp.example:2377/x?y=HOST-B"\nid = "{node}"\n', encoding="utf-8")
+    (root / "a.log").write_text(f'DNS:host-a.corp.example, CN=host-b\n"Id": "{full}"\nhostname: {short} {short}\nplain {full} {cluster}\naa:bb:cc:dd:ee:ff 10.9.8.7 Z@corp.example\nbe host-c, not myhost-b', encoding="utf-8")
+    (root / f"{full}.bin").write_bytes(b"\xff\x00")
+    (root / "ucp-nodes.txt").write_text(json.dumps([{"ID": "nodeid2", "Description": {"Hostname": "host-c"}, "Status": {"Addr": "10.1.1.1"}}]), encoding="utf-8")
+    (tmp_path / "nodes.csv").write_text(f"HOSTNAME;IP/MASK;CLUSTER-ID;NODE-ID;X\nhost-a.corp.example;10.9.8.7/24;{cluster};{node};1\nhost-b;;;;2\n", encoding="utf-8")
+    pipelines.redact_tree(spark, str(root), str(tmp_path / "out"), str(tmp_path / "nodes.csv"))
+    tree = tmp_path / "out/tree"
+    got = {str(p.relative_to(tree)): p.read_bytes() for p in tree.rglob("*") if p.is_file()}
+    assert len(got) == 4
+    for name, body in got.items():
+        for secret in ("host-a", "host-b", "host-c,", "host-c\"", node, cluster, full, short, "aa:bb", "10.9.8.7", "z@corp", "nodeid2"):
+            text = f"{name}\n{body.decode('utf-8', 'replace')}".lower()
+            assert secret not in text.replace("myhost-b", "")
+    assert b"myhost-b" in got["a.log"]
+    report = json.loads((tmp_path / "out/report.json").read_text())
+    assert report["files"] == {"changed": 3, "copied": 1} and report["renamed_paths"] == 2
+    rows = lines.read_semicolon_csv(spark, str(tmp_path / "out/nodes")).collect()
+    assert {r["NODE-ID"] for r in rows} == {"node-001", None} and all("example.invalid" in r["HOSTNAME"] for r in rows)
+    changed = {r["path"]: r["total_replacements"] for r in spark.read.json(str(tmp_path / "out/changed_files")).collect()}
+    assert len(changed) == 3 and changed["a.log"] == 11
+    texts = spark.createDataFrame([(1, "see host-b.log on host-a.corp.example"), (2, None), (3, "none"), (None, "host-b host-b")], "k int, t string")
+    mapped = spark.read.json(str(tmp_path / "out/mapping"))
+    every = [sorted(map(tuple, redact.rewrite(texts, ["k"], "t", mapped, (*redact.CLASSES, "host"), most, True, True).withColumn("replaced", F.to_json("replaced")).collect()), key=str) for most in (0, 1000)]
+    assert every[0] == every[1] and every[0][0][1] == "see host-002.example.invalid.log on host-001.example.invalid"
+    (root / "A.LOG").write_text("x", encoding="utf-8")
+    with pytest.raises(files.ScanError):
+        pipelines.redact_tree(spark, str(root), str(tmp_path / "out2"))
+
+
+def test_pattern_report(spark, bundle, tmp_path):
+    pipelines.scan_report(spark, str(bundle), str(tmp_path / "r"), ("onnection refused", "never"), "2024-03-05", 1)
+    got = {r["pattern"]: (r["n"], r["date_breakdown"].asDict()) for r in spark.read.json(str(tmp_path / "r/patterns")).collect()}
+    assert got == {"onnection refused": (4, {"2024-03-04": 0, "2024-03-05": 4, "2024-03-06": 0}), "never": (0, {"2024-03-04": 0, "2024-03-05": 0, "2024-03-06": 0})}
+    row = spark.read.json(str(tmp_path / "r/files")).first()
+    assert "10:01:00Z" in row["first_line"] and "10:01:03Z" in row["last_line"]
+    assert "2024-03-05" in (tmp_path / "r/summary.md").read_text(encoding="utf-8")
+
+
+STATUS = """http://10.0.0.1:2379 is healthy: successfully committed proposal: took = 2.5ms
+http://10.0.0.2:2379 is unhealthy: failed to commit proposal: took = 1.2s
++------+
+| ENDPOINT | ID | IS LEADER | IS LEARNER | RAFT TERM | RAFT INDEX | RAFT APPLIED INDEX |
++------+
+| http://10.0.0.1:2379 | a1 | {leads} | false | 7 | {index} | 90 |
+| http://10.0.0.2:2379 | a2 | false | true | 7 | 300 | 95 |
+| broken | row |
+m1: name=n1 peerURLs=http://10.0.0.1:2380,http://x:2380 clientURLs=http://10.0.0.1:2379 isLeader=true
+member a2 name=n2 peerURLs=http://10.0.0.2:2380 isLearner=true
+a1b2c3d4e5f60718, started, n3, http://10.0.0.3:2380, http://10.0.0.3:2379, false
+not: a member
+"""
+
+
+def test_cluster_run(spark, tmp_path):
+    root = tmp_path / "c"
+    for k, host in enumerate(("n1", "n2", "n3")):
+        (root / host).mkdir(parents=True)
+        if host != "n3":
+            (root / host / "etcd-status.txt").write_text(STATUS.format(leads="true", index=100 + k), encoding="utf-8")
+        (root / host / "journalctl-daemon.log").write_text("\n".join(f'time="2024-03-05T10:00:0{i}Z" dial tcp 10.0.0.{i}:2377: connect: connection refused, retrying in {i}s' for i in range(1, 5)) + "\nx", encoding="utf-8")
+    (root / "n2/dsinfo.txt").write_text("Hostname: real-n2\n Kernel Version: 5.4\n    inet 10.0.0.1/24 brd\n", encoding="utf-8")
+    (root / "n1/ucp-kv.log").write_text("\n".join(f'{{"ts":"2024-03-05T10:00:0{k}Z","msg":"slow fdatasync","took":"2.5s"}}' for k in range(3)), encoding="utf-8")
+    nodes = {r["host"]: r for r in cluster.cluster_incidents(spark, str(root), str(tmp_path / "o")).collect()}
+    assert nodes["n3"]["skipped"] == "journal only" and nodes["n1"]["skipped"] is None and nodes["n1"]["n_events"] == 4
+    assert (nodes["n2"]["hostname"], nodes["n2"]["ip"], nodes["n2"]["leader"]) == ("real-n2", "10.0.0.1", "http://10.0.0.1:2379")
+    read = lambda name: [r.asDict(True) for r in spark.read.json(str(tmp_path / "o" / name)).collect()]
+    (one,) = read("synthesis")
+    assert (one["leader"], one["n_votes"], one["stable"], one["index_drift"], one["concerning"], one["n_learners"], one["max_ms"]) == ("http://10.0.0.1:2379", 4, True, 200, True, 2, 1200.0)
+    assert len(read("members")) == 6 and {m["name"] for m in read("members")} == {"n1", "n2", "n3"}
+    (slow,) = read("slow_endpoints")
+    assert (slow["endpoint"], slow["n_seen"], slow["pattern"], slow["significant"]) == ("http://10.0.0.2:2379", 2, "sustained", True)
+    assert {(g["n"], g["retry_intervals"]) for g in read("journal_groups")} == {(4, "1s,2s,3s,4s")}
+    assert len(read("journal_targets")) == 12
+    assert {e["kind"] for e in spark.read.option("header", True).csv(str(tmp_path / "o/events")).collect()} == {"slow_fdatasync", "storm_slow_fdatasync"}
+    assert len(spark.read.option("header", True).csv(str(tmp_path / "o/events")).columns) == 14
+    inc = read("incidents")[0]
+    assert inc["event_counts"]["slow_fdatasync"] == 3 and inc["max_duration_ms_by_kind"] == {"slow_fdatasync": 2500.0} and inc["duration_ms"] == 2000
+    report = (tmp_path / "o/cluster.md").read_text(encoding="utf-8")
+    assert report.index("| n2 |") < report.index("| n1 |") and "4" in report and json.loads((tmp_path / "o/bundle.json").read_text())["counts"]["nodes_skipped"] == 1
+
+
+def test_many_store_logs_and_large_ids(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"b/h{k}").mkdir(parents=True)
+        (tmp_path / f"b/h{k}/ucp-kv.log").write_text('{"ts":"2024-03-05T10:00:00Z","msg":"slow fdatasync","took":"2.5s"}\n', encoding="utf-8")
+    assert pipelines.store_incidents(spark, str(tmp_path / "b"), str(tmp_path / "o")).count() == 30
+    ids = spark.createDataFrame([(f"evt_{k}",) for k in (1_000_000, 999_999, 999_998)], "event_id string")
+    assert [r["event_id"] for r in ids.orderBy(F.length("event_id"), "event_id").limit(2).collect()] == ["evt_999998", "evt_999999"]
+
+
+def test_great_files_are_read_in_blocks(spark, tmp_path):
+    body = "".join(f"line {k}\r\n" for k in range(5000)) + "last"
+    (tmp_path / "d e").mkdir()
+    (tmp_path / "d e/a+b.log").write_text(body, encoding="utf-8", newline="")
+    (tmp_path / "s.log").write_text("x\ny\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = {(r["source_relpath"], r["line_number"]): r["line"] for r in lines.lines_of(files.list_files(spark, str(tmp_path)), 1000).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {("s.log", 1): "x", ("s.log", 2): "y"} | {("d e/a+b.log", k + 1): f"line {k}\r" for k in range(5000)} | {("d e/a+b.log", 5001): "last"}
+
+
+def test_inventory_run(spark, tmp_path):
+    (tmp_path / "nodes.json").write_text(json.dumps([{"ID": "abcdefghijkl", "Description": {"Hostname": "N1", "Resources": {"NanoCPUs": 4_000_000_000, "MemoryBytes": 1 << 33}}, "Spec": {"Role": "worker"}}, {"ID": "b", "Description": {"Hostname": "n2"}, "Spec": {"Role": "manager"}}]), encoding="utf-8")
+    (tmp_path / "f/n1").mkdir(parents=True)
+    (tmp_path / "f/n1/dsinfo.txt").write_text("Hostname: n1\nOperating System: Ubuntu 22.04\n Kernel Version: 5.15\n 10:00:00 up 3 days, 2 users\n", encoding="utf-8")
+    rows = {r["hostname"]: r for r in pipelines.node_inventory(spark, str(tmp_path / "nodes.json"), str(tmp_path / "f"), str(tmp_path / "o")).collect()}
+    assert (rows["N1"]["system"], rows["N1"]["kernel"], rows["N1"]["cpus"], rows["N1"]["uptime"]) == ("Ubuntu 22.04", "5.15", 4, "3 days") and rows["n2"]["role"] == "BAD-Manager"
+    assert spark.read.json(str(tmp_path / "o/stats")).first()["kernels"] == ["5.15"]
+    assert lines.read_semicolon_csv(spark, str(tmp_path / "o/nodes_csv")).count() == 2
 
 
 def test_archives(tmp_path):
