@@ -54,3 +54,26 @@ def top_values(members: DataFrame, keys: list[str], value: str, most: int) -> Da
     """The most frequent values in each cluster, of equal counts by value; nulls are left out."""
     counted = members.where(F.col(value).isNotNull()).groupBy(*keys, "cluster_start", value).agg(F.count("*").alias("n"))
     return counted.withColumn("place", F.row_number().over(W.partitionBy(*keys, "cluster_start").orderBy(F.desc("n"), value))).where(F.col("place") <= most)
+
+
+def numbered(clusters: DataFrame, keys: list[str], prefix: str = "clu_") -> DataFrame:
+    """Adds ``cluster_id``: ``clu_000001`` and so on by key as text, null as empty, then start.
+
+    Clusters are counted by event type or whatever the first key is, and numbered inside, so no task orders them all.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = clusters.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("")) for n, k in zip(names, keys)})
+    base = rows.groupBy(names[0]).agg(F.count("*").alias("__n"))
+    base = base.withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy(names[0]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.row_number().over(W.partitionBy(names[0]).orderBy(*names[1:], "start_us"))
+    number = (F.col("__base") + F.col("__rn")).cast("string")
+    named = rows.withColumn("__rn", inside).join(base, names[0]).withColumn("cluster_id", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.lit(6), F.length(number)), "0")))
+    return named.drop(*names, "__rn", "__base")
+
+
+def with_values(clusters: DataFrame, top: DataFrame, keys: list[str]) -> DataFrame:
+    """The clusters with the columns of a table by key and cluster start; null key parts equal each other."""
+    own = [*keys, "cluster_start"]
+    other = top.select(*[F.col(c).alias(f"__{c}") for c in own], *[c for c in top.columns if c not in own])
+    same = [clusters[c].eqNullSafe(other[f"__{c}"]) for c in own]
+    return clusters.join(other, same, "left").drop(*[f"__{c}" for c in own])

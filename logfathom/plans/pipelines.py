@@ -46,8 +46,8 @@ def top_targets(events: DataFrame, most: int = 3) -> DataFrame:
     return top.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "target"))), lambda x: x["target"]), ", ").alias("top_targets"))
 
 
-def triage(spark: SparkSession, root: str, out: str, severities: tuple[str, ...] = ("critical", "high", "medium", "info"), latest_us: int | None = None, overwrite: bool = False, max_events: int | None = None) -> dict:
-    """Events, clusters, findings and a report of a host bundle; returns the ledger."""
+def triage(spark: SparkSession, root: str, out: str, severities: tuple[str, ...] = ("critical", "high", "medium", "info"), latest_us: int | None = None, overwrite: bool = False, max_events: int | None = None, grouped: bool = True) -> dict:
+    """Events, clusters, findings and a report of a host bundle; returns the ledger. Without ``grouped`` only the events are written."""
     began = time.time()
     ledger: dict = {"root": root, "severities": list(severities)}
     try:
@@ -61,9 +61,18 @@ def triage(spark: SparkSession, root: str, out: str, severities: tuple[str, ...]
             events = events.orderBy(F.length("event_id"), "event_id").limit(max_events)  # evt_1000000 after evt_999999
         hashed = events.withColumn("event_hash", timeline.event_hash(*map(F.col, ("source_relpath", "line_number", "signature_id", "ts_raw", "event_type", "peer", "port", "line"))))
         tables.write_jsonl(hashed.drop("scope"), f"{out}/events", "events", overwrite)
+        if not grouped:
+            ledger["events"] = events.count()
+            return ledger
         members = bursts.burst_members(events.where(F.col("event_type").isin(*packs.HOST.chatty)), KEYS, "us", 30_000_000, 60_000_000)
-        clusters = bursts.burst_clusters(members, KEYS, "us").withColumn("scope", F.lit(1)).withColumn("cluster_id", F.concat_ws("|", "event_type", "peer", "start_us"))
-        tables.write_jsonl(clusters.drop("scope"), f"{out}/clusters", "clusters", overwrite)
+        clusters = bursts.burst_clusters(members, KEYS, "us").withColumn("scope", F.lit(1))
+        clusters = cut(bursts.numbered(clusters, KEYS))
+        named = clusters
+        for value, most in (("reason", 3), ("source_relpath", 10)):
+            top = bursts.top_values(members, KEYS, value, most).groupBy(*KEYS, "cluster_start").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(value).alias("v"), "n"))), lambda x: F.struct(x["v"].alias(value), x["n"].alias("n"))).alias(f"top_{value}s"))
+            named = bursts.with_values(named, top, KEYS)
+        tables.write_jsonl(members.select("event_id", *KEYS, "cluster_start"), f"{out}/cluster_members", overwrite=overwrite)
+        tables.write_jsonl(named.drop("scope"), f"{out}/clusters", "clusters", overwrite)
         found = cut(findings.findings(events, ["scope"], "event_type", "us", packs.HOST.heuristics))
         tables.write_jsonl(found.drop("scope"), f"{out}/findings", "findings", overwrite)
         refs = findings.evidence(found, events, ["scope"], "event_type", "us", "event_id", packs.HOST.heuristics)

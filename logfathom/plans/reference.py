@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import durations, severity, spelling
+from ..functions import durations, payload, severity, spelling
 from ..functions import text as T
 from ..functions.epoch import epoch_us
 from ..operators import bursts, filters, findings, frames, incidents, inventory, journal, matching, redact, snapshot, timeline
@@ -266,12 +266,15 @@ def q19_heuristic_findings(spark, folder):
 _PAIRS = ", ".join(f"('{h.id}', '{k}', {i}, {str(i >= len(h.thresholds)).lower()})" for h in packs.HOST.heuristics for i, k in enumerate([*(k for k, _ in h.thresholds), *dict.fromkeys(h.supports)]))
 
 
-@query(f"""with recursive {_finding_sql()},
+_EVIDENCE = f"""{_finding_sql()},
     i as (select f.bundle_id, f.heuristic_id, f.place, v.ord, v.sup, te.event_type, te.event_id, te.us, row_number() over w as rn, count(*) over (partition by f.bundle_id, f.heuristic_id, f.place, v.ord) as n
       from found f join (values {_PAIRS}) v(h, k, ord, sup) on v.h = f.heuristic_id join te on te.bundle_id = f.bundle_id and te.event_type = v.k and te.us between f.start_us and f.end_us
       window w as (partition by f.bundle_id, f.heuristic_id, f.place, v.ord order by te.us, te.event_id)),
-    j as (select *, row_number() over (partition by bundle_id, heuristic_id, place order by ord, rn) as line from i where rn = 1 or rn = n or not sup and rn = n // 2 + 1)
-    select bundle_id, heuristic_id, place, event_type, event_id, us from j where not sup or line <= 12""")
+    j as (select *, row_number() over (partition by bundle_id, heuristic_id, place order by ord, rn) as line from i where rn = 1 or rn = n or not sup and rn = n // 2 + 1),
+    evidence as (select bundle_id, heuristic_id, place, event_type, event_id, us from j where not sup or line <= 12)"""
+
+
+@query(f"with recursive {_EVIDENCE} select * from evidence")
 def q20_finding_evidence(spark, folder):
     events = timeline_events(spark, folder)
     return findings.evidence(findings.findings(events, ["bundle_id"], "event_type", "us", packs.HOST.heuristics), events, ["bundle_id"], "event_type", "us", "event_id", packs.HOST.heuristics)
@@ -294,7 +297,20 @@ def _clusters(spark, folder):
     return found.select("bundle_id", "event_type", F.concat_ws("|", "event_type", F.col("start_us").cast("string")).alias("cluster_id"), "start_us")
 
 
-@query()
+_CHATTY = ", ".join(f"'{k}'" for k in packs.HOST.chatty)
+
+
+@query(f"""with recursive {_EVIDENCE}, refs as (select distinct bundle_id, event_id from evidence),
+    t as (select bundle_id, event_type, us, count(*) as n from te where us is not null group by 1, 2, 3), r as (select *, row_number() over (partition by bundle_id, event_type order by us) as rn from t),
+    g as (select bundle_id, event_type, us, n, rn, us as st from r where rn = 1 union all
+      select r.bundle_id, r.event_type, r.us, r.n, r.rn, case when r.us - g.us <= {_GAP} and r.us - g.st <= {_SPAN} then g.st else r.us end from g join r on r.bundle_id = g.bundle_id and r.event_type = g.event_type and r.rn = g.rn + 1),
+    b as (select bundle_id, event_type, min(us) as start_us from g group by bundle_id, event_type, st having sum(n) >= 3),
+    noisy as (select distinct bundle_id, event_type from b where event_type in ({_CHATTY})),
+    e as (select te.*, te.severity is not distinct from 'critical' or refs.event_id is not null as must from te left join refs on refs.bundle_id = te.bundle_id and refs.event_id = te.event_id left join noisy on noisy.bundle_id = te.bundle_id and noisy.event_type = te.event_type
+      where te.us is not null and (te.severity is not distinct from 'critical' or refs.event_id is not null or noisy.event_type is null)),
+    ids as (select bundle_id, event_id as id from e where must union select bundle_id, arg_min(event_id, (us, event_id)) from e group by bundle_id, event_type union select bundle_id, arg_min(event_id, (us, event_id)) from e where not must group by bundle_id, event_type, us // {10 * MINUTE}),
+    items as (select bundle_id, event_type || '|' || start_us as id, start_us as us, 'cluster' as kind from b union all select e.bundle_id, e.event_id, e.us, 'event' from e join ids on ids.bundle_id = e.bundle_id and ids.id = e.event_id),
+    p as (select *, cast(row_number() over (partition by bundle_id order by us, kind, id) as integer) as place from items) select bundle_id, place, kind, id, us from p where place <= 40""")
 def q22_timeline_downsample(spark, folder):
     events = timeline_events(spark, folder)
     refs = findings.evidence(findings.findings(events, ["bundle_id"], "event_type", "us", packs.HOST.heuristics), events, ["bundle_id"], "event_type", "us", "event_id", packs.HOST.heuristics)
@@ -317,9 +333,11 @@ def q24_stable_event_ids(spark, folder):
 
 _RX = {c: redact.CLASSES[c].replace("'", "''") for c in redact.CLASSES}
 _TOK = " union ".join(f"select '{c}' as entity, lower(unnest(regexp_extract_all(message, '{_RX[c]}'))) as original from ec" for c in redact.CLASSES)
-_MAP = f"""{EC}, tok as ({_TOK}), num as (select *, row_number() over (partition by entity order by original collate c) as n from tok),
-  map as (select entity, original, case entity when 'email' then 'user' || lpad(cast(n as varchar), cast(greatest(3, length(cast(n as varchar))) as integer), '0') || '@example.invalid' when 'sha256' then 'sha256:digest-' || lpad(cast(n as varchar), cast(greatest(3, length(cast(n as varchar))) as integer), '0')
-    when 'ip' then '10.' || ((n - 1) // 64516) || '.' || (((n - 1) // 254) % 254 + 1) || '.' || ((n - 1) % 254 + 1) else entity || '-' || lpad(cast(n as varchar), cast(greatest(3, length(cast(n as varchar))) as integer), '0') end as replacement from num)""".replace(" collate c", "")
+_PAD = "lpad(cast(n as varchar), cast(greatest(3, length(cast(n as varchar))) as integer), '0')"
+_NAMED = f"""num as (select *, row_number() over (partition by entity order by original) as n from tok),
+  map as (select entity, original, case entity when 'host' then 'host-' || {_PAD} || '.example.invalid' when 'email' then 'user' || {_PAD} || '@example.invalid' when 'sha256' then 'sha256:digest-' || {_PAD}
+    when 'ip' then '10.' || ((n - 1) // 64516) || '.' || (((n - 1) // 254) % 254 + 1) || '.' || ((n - 1) % 254 + 1) else entity || '-' || {_PAD} end as replacement from num)"""
+_MAP = f"{EC}, tok as ({_TOK}), {_NAMED}"
 
 
 @query(f"with {_MAP} select entity, original, replacement from map")
@@ -532,5 +550,128 @@ def q51_redact_columns(spark, folder):
     return redact.rewrite_columns(nodes.select(F.lower("hostname").alias("original"), "hostname", "node_id"), {"hostname": "host", "node_id": "node"}, mapped)
 
 
+# Status files are written from the nodes' table and read again, so that the queries pass through the parsers.
+
+def _status_files(spark, folder):
+    n = table(spark, folder, "nodes").where("address is not null")
+    endpoint = F.concat(F.lit("https://"), "address", F.lit(":2379"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    health = F.concat(F.lit("| "), endpoint, F.lit(" | true | "), F.when(F.col("cpus").isNotNull(), F.concat((F.col("cpus") * 7).cast("string"), F.lit(".5ms"))).otherwise(""), F.lit(" |  |"))
+    leads, learns = (F.col("node_type") == "manager") & (F.col("availability") == "active"), F.col("state").isNull()
+    status = F.concat(F.lit("| "), endpoint, F.lit(" | "), F.when(leads, "true").otherwise("false"), F.lit(" | "), F.when(learns, "true").otherwise("false"), F.lit(" | "), text(F.col("cpus") % 5), F.lit(" | "), text(F.col("cpus") * 10), F.lit(" | "), text(F.col("cpus") * 9), F.lit(" |"))
+    rows = n.groupBy("cluster_id").agg(F.array_join(F.sort_array(F.collect_list(health)), "\n").alias("h"), F.array_join(F.sort_array(F.collect_list(status)), "\n").alias("s"))
+    head = lambda *names: F.lit("+----+\n| " + " | ".join(names) + " |\n+----+\n")
+    text_ = F.concat(head("ENDPOINT", "HEALTH", "TOOK", "ERROR"), "h", F.lit("\n+----+\n\n"), head("ENDPOINT", "IS LEADER", "IS LEARNER", "RAFT TERM", "RAFT INDEX", "RAFT APPLIED INDEX"), "s", F.lit("\n+----+\n"))
+    return snapshot.status_tables(rows.select("cluster_id", text_.alias("text")), ["cluster_id"], "text")
+
+
+_NODES = """hn as (select cluster_id, 'https://' || address || ':2379' as endpoint, cast(cpus * 7 as double) + 0.5 as ms from nodes where address is not null),
+  sn as (select cluster_id, 'https://' || address || ':2379' as endpoint, coalesce(node_type = 'manager' and availability = 'active', false) as leads, state is null as learns, cpus % 5 as term, cast(cpus * 10 as bigint) as idx, cast(cpus * 9 as bigint) as applied from nodes where address is not null)"""
+_HEALTH = "select cluster_id, min(ms) as min_ms, max(ms) as max_ms, round(max(ms) - min(ms), 6) as skew_ms, round(max(ms) / nullif(min(ms), 0), 6) as ratio, arg_min(endpoint, (ms, endpoint)) filter (ms is not null) as fastest, arg_max(endpoint, (ms, endpoint)) filter (ms is not null) as slowest, count(*) filter (ms > 110) as n_slow from hn group by 1"
+_RAFT = "select cluster_id, count(distinct term) as n_terms, max(idx) - min(idx) as index_drift, max(applied) - min(applied) as applied_drift, count(*) as n_members, count(*) filter (learns) as n_learners, max(idx) - min(idx) >= 100 as concerning from sn group by 1"
+_VOTE = "select cluster_id, arg_min(leader, (-n, leader)) as leader, max(n) as n_votes, count(*) = 1 as stable from (select cluster_id, case when leads then endpoint else 'unknown' end as leader, count(*) as n from sn group by 1, 2) group by 1"
+
+
+@query(f"with {_NODES} {_HEALTH}")
+def q52_status_health(spark, folder):
+    return snapshot.health_metrics(_status_files(spark, folder)[0], ["cluster_id"], "endpoint", "took_ms")
+
+
+@query(f"with {_NODES} {_RAFT}")
+def q53_status_raft(spark, folder):
+    return snapshot.raft_metrics(_status_files(spark, folder)[1], ["cluster_id"], "term", "raft_index", "applied_index", F.col("is_learner"))
+
+
+@query(f"""with {_NODES}, r as ({_RAFT}), v as ({_VOTE}), h as ({_HEALTH}), e as (select cluster_id, count(distinct endpoint) as k from sn group by 1)
+  select r.cluster_id, n_terms, index_drift, applied_drift, n_members, n_learners, concerning, leader, n_votes, stable, min_ms, max_ms, n_slow, k as n_hosts, k as n_endpoints, case when k < 3 then 'no failure tolerated' when k % 2 = 0 then 'even number of voters' else 'ok' end as risk
+  from r join v using (cluster_id) left join h using (cluster_id) join e using (cluster_id)""")
+def q54_cluster_synthesis(spark, folder):
+    health, status, _ = _status_files(spark, folder)
+    scoped = status.withColumn("host", F.col("endpoint")).withColumn("leader", F.when(F.col("is_leader"), F.col("endpoint")))
+    return snapshot.synthesis(scoped, health, ["cluster_id"]).drop("slow_endpoints", "skew_ms", "ratio", "fastest", "slowest")
+
+
+@query(f"""with {_NODES}, p as (select cluster_id, endpoint, count(*) as n_seen, count(*) filter (ms > 110) as n_slow, min(ms) as min_ms, max(ms) as max_ms from hn group by 1, 2 having count(*) filter (ms > 110) > 0),
+  k as (select *, n_slow * 3 >= n_seen as significant, case when n_slow < n_seen then 'intermittent' else 'sustained' end as pattern, cast(row_number() over (partition by cluster_id order by max_ms desc, endpoint) as integer) as place from p) select * from k where place <= 3""")
+def q55_slowest_endpoints(spark, folder):
+    return snapshot.slowest_endpoints(_status_files(spark, folder)[0], ["cluster_id"], "endpoint", "took_ms", 3)
+
+
+_MTPL = _TPL.replace("regexp_replace(line,", "regexp_replace(message,")
+_GROUPS = f"""{EC}, k as (select bundle_id, {_JSQL} as kind, message, line_number from ec), t as (select *, {_MTPL} as s from k where kind is not null), u as (select *, case when length(s) > 180 then substr(s, 1, 177) || '...' else s end as template from t),
+  g as (select bundle_id, kind, template, count(*) as n, min(line_number) as first_us, max(line_number) as last_us, coalesce(string_agg(distinct nullif(regexp_extract(message, 'retrying in ([0-9]+[A-Za-z])', 1), ''), ',' order by nullif(regexp_extract(message, 'retrying in ([0-9]+[A-Za-z])', 1), '')), '') as retry_intervals,
+    case when contains(lower(template), 'pxd.sock') then 'docker_plugin_pxd_sock_refused' when contains(lower(template), '/run/docker/plugins') and contains(lower(template), 'plugin.activate') and contains(lower(template), 'refused') then 'docker_plugin_activate_refused' else kind end as label from u group by 1, 2, 3)"""
+
+
+def _groups(spark, folder):
+    rows = candidate_lines(spark, folder).withColumn("kind", matching.first_match(F.col("message"), packs.JOURNAL)).where("kind is not null")
+    return journal.signature_groups(rows, ["bundle_id"], "kind", "message", "line_number")
+
+
+@query(f"with {_GROUPS} select * from g")
+def q56_journal_groups(spark, folder):
+    return _groups(spark, folder)
+
+
+@query(f"with {_GROUPS}, p as (select *, cast(row_number() over (partition by bundle_id order by n desc, label, template) as integer) as place from g where n >= 3) select * from p where place <= 5")
+def q57_repeating_signatures(spark, folder):
+    return journal.repeating(_groups(spark, folder), ["bundle_id"])
+
+
+_DAYS = filters.days_around("2024-03-10", 4)
+
+
+@query(f"""with {BL}, p as (select unnest([{', '.join(repr(p) for p in _WORDS)}]) as pattern), d as (select unnest([{', '.join(repr(x) for x in _DAYS)}]) as day), c as (select pattern, regexp_extract(line, '({'|'.join(_DAYS)})', 1) as day, count(*) as n from bl join p on regexp_matches(line, pattern) group by 1, 2)
+  select p.pattern, d.day, coalesce(n, 0) as n from p cross join d left join c on c.pattern = p.pattern and c.day = d.day""")
+def q58_pattern_days(spark, folder):
+    day = filters.day_key(F.col("line"), "2024-03-10", 4)
+    rows = bundle_lines(spark, folder).where(day.isNotNull())
+    return matching.with_day_zeros(matching.count_patterns(rows, "source_relpath", "line_number", "line", _WORDS, day), _WORDS, _DAYS)
+
+
+@query("""select cluster_id, node_id as id, hostname as name, case when node_type is not null then 'http://' || address || ':2380,http://x:2380' end as peer_urls, case when node_type = 'manager' then true end as is_leader
+  from nodes where hostname is not null and node_id is not null and address is not null and node_type is not null""")
+def q59_member_lines(spark, folder):
+    n = table(spark, folder, "nodes").where("hostname is not null and node_id is not null and address is not null and node_type is not null")
+    rest = F.concat(F.lit("name="), "hostname", F.lit(" peerURLs=http://"), "address", F.lit(":2380,http://x:2380"))
+    line = F.when(F.col("node_type") == "manager", F.concat("node_id", F.lit(": "), rest, F.lit(" isLeader=true"))).otherwise(F.concat(F.lit("member "), "node_id", F.lit(" "), rest))
+    m = n.select("cluster_id", snapshot.member_line(line).alias("m")).where("m is not null")
+    return m.select("cluster_id", "m.id", "m.name", F.array_join("m.peer_urls", ",").alias("peer_urls"), "m.is_leader")
+
+
+@query("select lower(hostname) as host, address as told_address, '24' as mask, os as system, engine_version as kernel from nodes where hostname is not null and address is not null and os is not null and engine_version is not null")
+def q60_node_facts(spark, folder):
+    n = table(spark, folder, "nodes").where("hostname is not null and address is not null and os is not null and engine_version is not null")
+    told = (F.concat(F.lit("Hostname: "), "hostname"), F.concat(F.lit("Operating System: "), "os"), F.concat(F.lit(" Kernel Version: "), "engine_version"), F.concat(F.lit("    inet "), "address", F.lit("/24 brd")), F.lit("Hostname: later"))
+    lines = n.select("node_id", F.posexplode(F.array(*told)).alias("n", "line"))
+    found = inventory.facts(lines, ["node_id"], "n", "line", inventory.DSINFO)
+    return found.select(spelling.host_key(F.col("told_host")).alias("host"), "told_address", "mask", "system", "kernel")
+
+
+@query(f"with {BL}, r as (select substr(line, instr(line, '{{')) as rest from bl where contains(line, '{{')), j as (select case when json_valid(rest) then json_extract_string(rest, '$.level') end as level, case when json_valid(rest) then json_extract_string(rest, '$.msg') end as msg from r) select level, count(*) as n, count(distinct msg) as n_messages from j where level is not null group by 1")
+def q61_payload_values(spark, folder):
+    rows = bundle_lines(spark, folder).where(F.contains("line", F.lit("{"))).select(payload.payload_value(F.col("line"), "level").alias("level"), payload.payload_value(F.col("line"), "msg").alias("msg"))
+    return rows.where("level is not null").groupBy("level").agg(F.count("*").alias("n"), F.count_distinct("msg").alias("n_messages"))
+
+
+@query(f"""with {TE} select event_id, case when length(message) > 60 then substr(message, 1, 59) || '…' else message end as short, case when port = 2377 or contains(event_type, 'raft') then 'manager quorum traffic (2377) is failing' when port = 7946 or contains(event_type, 'memberlist') then 'gossip traffic (7946) is failing' else 'repeated events' end as implication,
+  concat_ws(' ', cast(us as varchar), rpad(upper(severity), 8, ' '), event_type, 'peer=' || peer, 'reason=' || reason, '(' || source_relpath || ')') as row_text from te""")
+def q62_event_rows(spark, folder):
+    e = timeline_events(spark, folder)
+    row = T.event_row(F.col("us").cast("string"), F.col("severity"), F.col("event_type"), F.col("peer"), F.col("reason"), F.col("source_relpath"))
+    return e.select("event_id", T.shorten(F.col("message"), 60).alias("short"), T.implication(F.col("port"), F.col("event_type")).alias("implication"), row.alias("row_text"))
+
+
+_BTOK = _TOK.replace("message", "line").replace("from ec", "from bl")
+_EVERY = "|".join(f"(?:{x})" for x in (*_RX.values(), redact.HOST))
+
+
+@query(f"with {BL}, tok as ({_BTOK} union select 'host', lower(trim(hostname)) from nodes where trim(hostname) <> '' union select 'ip', lower(trim(address)) from nodes where trim(address) <> '' union select 'cluster', lower(trim(cluster_id)) from nodes where trim(cluster_id) <> '' union select 'node', lower(trim(node_id)) from nodes where trim(node_id) <> ''), {_NAMED}, {_rewritten('bl', 'source_relpath, line_number', 'line', _EVERY, 'map')}")
+def q63_redact_seeded(spark, folder):
+    lines = bundle_lines(spark, folder)
+    entities = redact.tokens(lines, "line").unionByName(redact.seeds(table(spark, folder, "nodes"), "hostname", "address", "cluster_id", "node_id")).distinct()
+    return redact.rewrite(lines, ["source_relpath", "line_number"], "line", redact.mapping(entities), (*redact.CLASSES, "host"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return q12_incident_windows(spark, folder)

@@ -43,6 +43,10 @@ def test_triage(spark, bundle, tmp_path):
     events = spark.read.json(str(out / "events"))
     assert events.where("signature_id = 'memberlist_timeout'").count() == 12
     assert {r["event_type"] for r in spark.read.json(str(out / "clusters")).collect()} == {"memberlist_timeout", "raft_peer_connect_error"}
+    grouped = sorted((r["cluster_id"], r["event_type"], r["peer"], r["n"], [x["source_relpath"] for x in r["top_source_relpaths"]]) for r in spark.read.json(str(out / "clusters")).collect())
+    assert [g[0] for g in grouped] == [f"clu_{k + 1:06}" for k in range(len(grouped))] and [g[1:3] for g in grouped] == sorted(g[1:3] for g in grouped)
+    assert all(g[4] == ["var/log/docker.log"] for g in grouped)
+    assert spark.read.json(str(out / "cluster_members")).count() >= sum(g[3] for g in grouped)
     found = {r["heuristic_id"] for r in spark.read.json(str(out / "findings")).collect()}
     assert found == {"swarm_gossip_instability", "leadership_loss_present"}
     report = (out / "report.md").read_text(encoding="utf-8")
@@ -250,6 +254,7 @@ def test_patterns_compile_in_the_engine(spark):
 
 def test_command_line(capsys):
     assert cli.main(["lint"]) == 0
+    assert cli.main(["incidents", "nowhere", "--time", "noon"]) == 2
     assert "store" in capsys.readouterr().out
 
 
