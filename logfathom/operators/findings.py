@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..rules.model import Compound, Heuristic
-from ..session import cut
+from ..session import cut, join_few
 from .frames import counts_ahead, slotted
 
 #: Findings of one heuristic in one scope.
@@ -54,10 +54,10 @@ def findings(events: DataFrame, scope: list[str], event_type: str, us: str, rule
     """
     window = _by_rule(rules, lambda h: h.window_s * 1_000_000)
     times = reduce(DataFrame.unionByName, [firing_times(events, scope, event_type, us, h).select(*scope, F.lit(h.id).alias("heuristic_id"), us) for h in rules])
-    found = pick_findings(times, [*scope, "heuristic_id"], us, window).select(*scope, "heuristic_id", "place", F.col(us).alias("start_us"), (F.col(us) + window).alias("end_us"))
+    found = cut(pick_findings(times, [*scope, "heuristic_id"], us, window).select(*scope, "heuristic_id", "place", F.col(us).alias("start_us"), (F.col(us) + window).alias("end_us")))
     kinds = events.sparkSession.createDataFrame([(h.id, k, True) for h in rules for k, _ in h.thresholds] + [(h.id, k, False) for h in rules for k in h.supports], "heuristic_id string, __kind string, __counts boolean")
     near = events.select(*scope, F.col(event_type).alias("__kind"), F.col(us).alias("__us"))
-    seen = found.join(F.broadcast(kinds), "heuristic_id").join(near, [*scope, "__kind"]).where(F.col("__us").between(F.col("start_us"), F.col("end_us")))
+    seen = join_few(near, found.join(F.broadcast(kinds), "heuristic_id"), [*scope, "__kind"], "__us").where(F.col("__us").between(F.col("start_us"), F.col("end_us")))
     counted = seen.groupBy(*scope, "heuristic_id", "place", "start_us", "end_us").agg(F.count_if("__counts").alias("n_threshold"), F.count_distinct(F.when(~F.col("__counts"), F.col("__kind"))).alias("n_supports"))
     bonus = F.least(F.lit(0.10), F.col("n_supports") * 0.05)
     return counted.withColumn("confidence", F.round(F.least(F.lit(0.99), _by_rule(rules, lambda h: h.weight) + bonus), 3)).withColumn("severity", _by_rule(rules, lambda h: h.severity))
@@ -71,7 +71,7 @@ def evidence(found: DataFrame, events: DataFrame, scope: list[str], event_type:
     kinds = [(h.id, k, i, i >= len(h.thresholds)) for h in rules for i, k in enumerate([*(k for k, _ in h.thresholds), *dict.fromkeys(h.supports)])]
     pairs = found.sparkSession.createDataFrame(kinds, "heuristic_id string, __kind string, __at int, __supports boolean")
     near = events.select(*scope, F.col(event_type).alias("__kind"), F.col(us).alias("us"), F.col(event_id).alias("event_id"))
-    inside = found.join(F.broadcast(pairs), "heuristic_id").join(near, [*scope, "__kind"]).where(F.col("us").between(F.col("start_us"), F.col("end_us")))
+    inside = join_few(near, cut(found).join(F.broadcast(pairs), "heuristic_id"), [*scope, "__kind"], "event_id").where(F.col("us").between(F.col("start_us"), F.col("end_us")))
     w = W.partitionBy(*scope, "heuristic_id", "place", "__at")
     numbered = inside.withColumn("rn", F.row_number().over(w.orderBy("us", "event_id"))).withColumn("of", F.count("*").over(w))
     middle = F.expr("of div 2") + 1

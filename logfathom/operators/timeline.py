@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_hash
-from ..session import cut
+from ..session import cut, small
 from .frames import slotted
 
 
@@ -19,8 +19,8 @@ def timeline(events: DataFrame, clusters: DataFrame, scope: list[str], us: str,
     are critical or referred to. ``clusters`` has (scope, event_type, cluster_id, start_us), ``referenced`` (scope, event_id).
     """
     refs = cut(referenced.select(*scope, F.col(event_id).alias("__id")).distinct()).withColumn("__ref", F.lit(True))
-    noisy = clusters.where(F.col("event_type").isin(*chatty)).select(*scope, F.col("event_type").alias("__noisy")).distinct()
-    e = events.where(F.col(us).isNotNull()).withColumn("__id", F.col(event_id)).join(refs, [*scope, "__id"], "left").withColumn("__noisy", F.col(event_type)).join(noisy.withColumn("__has", F.lit(True)), [*scope, "__noisy"], "left")
+    noisy = small(cut(clusters.where(F.col("event_type").isin(*chatty)).select(*scope, F.col("event_type").alias("__noisy"), F.lit(True).alias("__has")).distinct()))
+    e = events.where(F.col(us).isNotNull()).withColumn("__id", F.col(event_id)).join(refs, [*scope, "__id"], "left").withColumn("__noisy", F.col(event_type)).join(noisy, [*scope, "__noisy"], "left")
     must = (F.col(severity) == "critical") | F.coalesce(F.col("__ref"), F.lit(False))
     e = e.where(must | F.col("__has").isNull()).withColumn("__must", must)
     order = F.struct(F.col(us), F.col(event_id))

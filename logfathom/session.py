@@ -71,3 +71,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     held = df.limit(rows + 1).select(F.octet_length(text).cast("bigint").alias("n")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
     return F.broadcast(df) if held["rows"] <= rows and held["size"] <= size else df
+
+
+#: Copies of each row of the few where two tables are joined on hot keys.
+SALTS = 16
+
+
+def join_few(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """An inner join of many rows with few of each key, which no hot key gathers in one task.
+
+    The few are sent to all executors if they are proven small; else they are copied for each salt, and the many take
+    their salt from the column ``spread``. ``few`` should be cheap to read, such as a table that was cut.
+    """
+    known = small(few)
+    if known is not few:
+        return many.join(known, on)
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [*on, "__salt"]).drop("__salt")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from logfathom import session
 from logfathom.functions import loglex, spelling, times
 from logfathom.operators import bursts, findings, frames, incidents, loglines, redact, sessions, timeline, timestamps
 from logfathom.rules.model import Heuristic
@@ -343,3 +344,26 @@ def test_plain_times_agree_with_the_readings():
     for t in texts:
         r = next(times.readings(t), None)
         assert times.plain_utc(t) == (times.resolve(r, times.zone("UTC"), None).us if r else None), t
+
+
+def test_few_rows_join_many_with_and_without_salt(spark, monkeypatch):
+    many = spark.createDataFrame([(k % 3, k) for k in range(100)], "key int, x int")
+    few = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "key int, v string")
+    want = sorted(map(tuple, many.join(few, "key").collect()))
+    assert sorted(map(tuple, session.join_few(many, few, ["key"], "x").collect())) == want
+    monkeypatch.setattr(session, "small", lambda df: df)
+    assert sorted(map(tuple, session.join_few(many, few, ["key"], "x").collect())) == want
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_folder(Session())
